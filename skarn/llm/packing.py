@@ -4,8 +4,7 @@ A configuration says how many pieces of each length one sequence holds. The cove
 configurations (fewest sequences that hold the length histogram) is solved by multiplicative
 weights: a length that has been covered less weighs more, and the pricing problem, the configuration
 of greatest weight, is a knapsack solved by dynamic programming. The solution is rounded down to
-whole sequences, the LP is solved again for what is left, and a last few pieces are placed by best
-fit. Only the histogram (one row a length) reaches the driver, and the plan that returns is bounded
+whole sequences, and what is left is placed by best fit. Only the histogram (one row a length) reaches the driver, and the plan that returns is bounded
 by the number of LP steps; pieces find their place by their rank among pieces of their length.
 
 A document is its ids and the end id. One longer than the capacity is cut into full pieces; what is
@@ -28,7 +27,7 @@ from .common import text_blocks, written
 from .tokens import Cutter, PieceIds
 
 END_ID = 2
-LP_STEPS, LP_ROUNDS, SHARE = 3, 4, 0.5  # steps a length, times the LP is solved, share covered by a step
+LP_STEPS, SHARE = 1, 0.5  # steps a length, share of a length covered by a step
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
@@ -128,22 +127,18 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
     if left[capacity]:
         bins.append(({capacity: 1}, int(left[capacity])))
         left[capacity] = 0
-    for _ in range(LP_ROUNDS):
-        lengths = np.flatnonzero(left)
-        if len(lengths) == 0 or np.dot(lengths, left[lengths]) < 20 * capacity:
-            break
-        moved = 0
-        for config, x in sorted(solve_lp(lengths, left[lengths].astype(float), capacity), key=lambda c: (-sum(lengths[i] * n for i, n in c[0].items()), sorted(c[0].items()))):
-            if sum(int(lengths[i]) * n for i, n in config.items()) < capacity - int(lengths[0]) + 1 and len(lengths) > 1:
+    lengths = np.flatnonzero(left)
+    if len(lengths):
+        solution = solve_lp(lengths, left[lengths].astype(float), capacity)
+        solution.sort(key=lambda c: (-sum(int(lengths[i]) * n for i, n in c[0].items()), sorted(c[0].items())))
+        for config, x in solution:
+            if sum(int(lengths[i]) * n for i, n in config.items()) <= capacity - int(lengths[0]):
                 continue  # not full: best fit does no worse
             times = min(int(x), *(int(left[lengths[i]]) // n for i, n in config.items()))
             if times > 0:
                 bins.append(({int(lengths[i]): n for i, n in config.items()}, times))
                 for i, n in config.items():
                     left[lengths[i]] -= times * n
-                moved += times
-        if not moved:
-            break
     bins += best_fit(left, capacity)
     slots: dict[int, list] = {}
     filled, base = np.zeros(capacity + 1, np.int64), 0

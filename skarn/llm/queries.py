@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney
+from . import kneser_ney, packing, tokens
 from .common import read_table
 
 
@@ -12,8 +12,24 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.held_out_scores(read_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024)
+
+
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
+    "op5_token_counts": op5_token_counts,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
