@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, kneser_ney, packing, tokens, toxicity
+from . import ann, decontamination, kneser_ney, packing, sharding, simhash, tokens, toxicity
 from .common import read_table
 
 
@@ -30,16 +30,31 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(read_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024)
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_sharding": op8_sharding,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
 }
 
 ORACLES: dict[str, str] = {}
