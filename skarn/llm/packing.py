@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_blocks, written
-from .tokens import Cutter, PieceIds
+from .tokens import Cutter, piece_ids
 
 END_ID = 2
 LP_STEPS, SHARE = 1, 0.5  # steps a length, share of a length covered by a step
@@ -37,7 +37,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 1024, with_ids: bool
     """
 
     def run(batches):
-        cut, ids = Cutter(path), PieceIds(path)
+        cut, ids = Cutter(path), piece_ids(path)
         end = np.array([END_ID], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for rows, _, _ in text_blocks(batches):

@@ -12,7 +12,10 @@ what the library makes of them by default (one special token).
 
 from __future__ import annotations
 
+import json
 import os
+import sys
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -27,24 +30,58 @@ from .common import U64, MappedTable, mapped_folder, parts_for, text_blocks
 
 #: Fixed value: the pattern by which this kind of vocabulary cuts texts before it merges.
 PIECE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-HELD_PIECES = 300_000  # pre-tokens a worker keeps
+HELD_PIECES = 120_000  # pre-tokens a worker keeps
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def _byte_of_char() -> dict[str, int]:
+    """How byte-level vocabularies spell bytes: printable Latin-1 as itself, the others from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
-    return Tokenizer.from_file(path)
+
+class Vocabulary:
+    """Encodes single pre-tokens by a byte-level BPE file of the tokenizers library.
+
+    Where the ids of merged pieces follow the order of the merges, the id is the merge rank and the
+    merges run on a rank table, several times as fast for single pieces; else the library runs them.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.specials = {t["content"]: t["id"] for t in file["added_tokens"] if t["special"]}
+        vocab, spelled = file["model"]["vocab"], _byte_of_char()
+        ranks = {bytes(spelled[c] for c in piece): i for piece, i in vocab.items() if piece not in self.specials}
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in file["model"]["merges"]]
+        singles = sum(len(piece) == 1 for piece in ranks)
+        if [vocab[m] for m in merges] == list(range(singles, singles + len(merges))) and not file["model"].get("ignore_merges"):
+            import tiktoken
+
+            self.merge = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(path)
+            self.merge = lambda piece: library.encode(piece, add_special_tokens=False).ids
+
+    def encode(self, piece: str) -> list[int]:
+        return [self.specials[piece]] if piece in self.specials else self.merge(piece)
+
+
+@lru_cache(maxsize=1)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 class Cutter:
     """Cuts texts into pre-tokens; special strings are pieces of their own."""
 
     def __init__(self, path: str):
-        specials = [t.content for t in tokenizer(path).get_added_tokens_decoder().values() if t.special]
+        specials = tuple(vocabulary(path).specials)
         self.findall = regex.compile(PIECE_PATTERN).findall
-        self.specials = tuple(specials)
+        self.specials = specials
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")").split if specials else None
 
     def __call__(self, text: str) -> list[str]:
@@ -63,13 +100,22 @@ class PieceIds(dict):
     """Pre-token to its ids as little-endian unsigned 32-bit bytes; encodes what it has not seen."""
 
     def __init__(self, path: str):
-        self.encode = tokenizer(path).encode
+        self.encode = vocabulary(path).encode
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= HELD_PIECES:
             self.clear()
-        ids = self[piece] = np.array(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        ids = array("I", self.encode(piece))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        self[piece] = out = ids.tobytes()
+        return out
+
+
+@lru_cache(maxsize=1)
+def piece_ids(path: str) -> PieceIds:
+    """One for each worker."""
+    return PieceIds(path)
 
 
 def piece_hash(piece: str) -> int:
@@ -95,7 +141,7 @@ def _distinct_pieces(path: str, parts: int):
         for _, _, _, texts in _texts(batches):
             for text in texts:
                 seen.update(cut(text))
-            if len(seen) > 500_000:
+            if len(seen) > 2 * HELD_PIECES:
                 yield from flush()
                 seen.clear()
         if seen:
@@ -107,8 +153,8 @@ def _distinct_pieces(path: str, parts: int):
 def _encode_once(path: str, table: MappedTable):
     def run(rows: pa.Table) -> pa.Table:
         pieces = sorted({p for some in rows.column("pieces").to_pylist() for p in some})
-        encode = tokenizer(path).encode_batch
-        counts = np.concatenate([[len(e.ids) for e in encode(pieces[i : i + 5000], add_special_tokens=False)] for i in range(0, len(pieces), 5000)])
+        encode = vocabulary(path).encode
+        counts = np.array([len(encode(p)) for p in pieces])
         keys = np.array([piece_hash(p) for p in pieces], U64)
         order = np.argsort(keys)
         part = rows.column("part")[0].as_py()

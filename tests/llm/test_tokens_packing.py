@@ -66,3 +66,12 @@ def test_plan_is_exact_and_tight():
         np.add.at(used, row[:, 1] + (rank - row[:, 0]) // row[:, 2], length)
     assert used.max() <= 256 and used.min() > 0
     assert plan.sequences <= 1.01 * -(-lengths.sum() // 256) + 1
+
+
+def test_pieces_equal_the_library(library):
+    """Every code point, in several surroundings."""
+    cut, ids = tokens.Cutter(tokenizer_path()), tokens.piece_ids(tokenizer_path())
+    chars = [chr(c) for c in range(1, 0x30000, 7) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(1, 0x400)]
+    texts = [f"a{c}b {c}1{c}{c}'x {c}" for c in chars]
+    for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(b"".join(map(ids.__getitem__, cut(text))), "<u4").tolist() == e.ids
