@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, kneser_ney, packing, sharding, simhash, substring_dedup, tokens, toxicity
+from . import ann, decontamination, kneser_ney, line_dedup, packing, sharding, simhash, substring_dedup, tokens, toxicity
 from .common import read_table
 
 
@@ -50,6 +50,10 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -60,6 +64,7 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_sharding": op8_sharding,
     "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE_SQL}
