@@ -99,7 +99,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
     spans are byte ranges (start, end) of hit words in the original UTF-8 text.
     """
     spark = docs.sparkSession
-    out = docs.select(*keep, F.col("text").alias("__text"))
+    name = "text" if "text" in keep else "__text"
+    extra = [] if "text" in keep else [name]
+    out = docs.select(*keep, *(F.col("text").alias(x) for x in extra))
     result = "n_words long, hits array<struct<a:long,b:long>>, items array<string>"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
@@ -110,8 +112,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
 
         def run(batches, shared=shared, last=last, first=k == 0):
             automaton = _automaton(shared.value, window)
-            for rows, data, offs in text_blocks(batches, "__text"):
-                texts = rows.column("__text").to_pylist()
+            for rows, data, offs in text_blocks(batches, name):
+                texts = rows.column(name).to_pylist()
                 n, hits, items = [], [], []
                 for i, t in enumerate(texts):
                     words, own, ids = scan(automaton, t or "")
@@ -121,9 +123,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
                     n.append(words)
                     hits.append([{"a": a, "b": b} for a, b in own])
                     items.append(sorted(ids))
-                columns = [rows.column(x) for x in keep] + ([] if last else [rows.column("__text")])
+                columns = [rows.column(x) for x in keep] + [rows.column(x) for x in ([] if last else extra)]
                 columns += [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pair)), pa.array(items, pa.list_(pa.string()))]
-                names = [*keep, *([] if last else ["__text"]), "n_words", "hits", "items"]
+                names = [*keep, *([] if last else extra), "n_words", "hits", "items"]
                 if last:
                     spans = [byte_spans(data[offs[i] : offs[i + 1]], h) for i, h in enumerate(hits)]
                     columns += [
@@ -139,7 +141,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
         if last:
             end = "n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<a:long,b:long>>"
             return out.mapInArrow(run, f"{fields}, {result}, {end}").drop("hits")
-        out = written(out.mapInArrow(run, f"{fields}, __text string, {result}"), "hits")
+        out = written(out.mapInArrow(run, ", ".join([fields, *(f"{x} string" for x in extra), result])), "hits")
     raise AssertionError
 
 

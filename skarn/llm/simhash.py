@@ -185,7 +185,16 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Rows of docs but near copies: of each group the row of the smallest id stays, once."""
-    found = groups(docs, shingle).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Rows of docs but near copies: of each group the row of the smallest id stays, once.
+
+    Of groups without any id, one row of each fingerprint stays.
+    """
+    found = written(groups(docs, shingle), "groups")
+    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    bare = found.filter(F.col("doc_id").isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
+    if bare.isEmpty():
+        return kept
+    print_of = F.udf(lambda t: f"{fingerprint((t or '').encode(), shingle):016x}")
+    loose = docs.filter(F.col("doc_id").isNull()).withColumn("__print", print_of("text")).join(bare.withColumnRenamed("fingerprint", "__print"), "__print", "left_semi")
+    return kept.unionByName(loose.dropDuplicates(["__print"]).drop("__print"))

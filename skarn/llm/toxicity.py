@@ -153,11 +153,12 @@ def score(model: Model, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), te
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, whatever the input
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    name = text if text in keep else "__text"
     place = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
     def run(batches):
         model = shared.value
-        for rows, data, offs in text_blocks(batches, "__text"):
+        for rows, data, offs in text_blocks(batches, name):
             buckets, first, row, ranges = sentences(data, offs)
             evidence = model.evidence(buckets, first)
             scores = -np.expm1(-np.bincount(row, evidence, len(rows)))
@@ -168,7 +169,7 @@ def score(model: Model, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), te
                 found[row[s]].append({"start": int(a), "end": int(b), "p": float(p[s])})
             yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(found, pa.list_(place))], [*keep, "score", "predicted", "offending"])
 
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    source = docs.select(*keep, *([] if text in keep else [F.col(text).alias(name)]))
     return source.mapInArrow(run, f"{fields}, score double, predicted int, offending array<struct<start:long,end:long,p:double>>")
 
 
