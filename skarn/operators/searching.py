@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, scoring
-from ..plans.lineage import cut
+from ..plans.lineage import cut, spread
 from . import graph, indexing
 from .indexing import RankingConfig
 
@@ -33,7 +33,8 @@ def build_index(pages: DataFrame, edges: DataFrame | None = None, keep=cut) -> I
     """
     spark = pages.sparkSession
     count = pages.count()
-    posted = keep(indexing.postings(pages).repartitionByRange("term").sortWithinPartitions("term", "page_id"), "postings")
+    counted = cut(indexing.postings(spread(pages)), "counted")  # else the sampling of ranges would count everything twice
+    posted = keep(counted.repartitionByRange("term").sortWithinPartitions("term", "page_id"), "postings")
     terms = keep(indexing.terms(posted, count), "terms")
     lengths = indexing.doc_lengths(pages, posted)
     ranks = graph.page_rank(edges, pages) if edges is not None and count else None

@@ -1,4 +1,4 @@
-"""Cutting lineage with tables in the shared folder, which outlive lost executors."""
+"""Cutting lineage with tables in the shared folder, which outlive lost executors; spreading small inputs."""
 
 from __future__ import annotations
 
@@ -19,3 +19,9 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{base.rstrip('/')}/skarn/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes in fewer splits than there are cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
