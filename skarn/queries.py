@@ -94,12 +94,12 @@ WITH RECURSIVE pg AS (
 # ---------------------------------------------------------------- tokens and index tables
 
 
-@query("SELECT page_id, field, term, pos FROM tok")
+@query("SELECT page_id, field, term, CAST(pos AS INTEGER) AS pos FROM tok")
 def token_positions(spark, sf_dir):
     return indexing.token_positions(pages_of(spark, sf_dir))
 
 
-@query("SELECT term, page_id, ft AS freq_title, fb AS freq_body FROM post")
+@query("SELECT term, page_id, CAST(ft AS INTEGER) AS freq_title, CAST(fb AS INTEGER) AS freq_body FROM post")
 def term_counts_capped(spark, sf_dir):
     return indexing.postings(pages_of(spark, sf_dir)).select("term", "page_id", "freq_title", "freq_body")
 
@@ -128,7 +128,7 @@ def stats(spark, sf_dir):
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(average)  # one row each
 
 
-@query("""SELECT * FROM (VALUES ('bm25_k1', 1.2, NULL), ('bm25_b', 0.75, NULL), ('title_boost', 2.5, NULL), ('page_rank_weight', 0.35, NULL), ('coverage_weight', 0.2, NULL),
+@query("""SELECT * FROM (VALUES ('bm25_k1', 1.2e0, NULL), ('bm25_b', 0.75e0, NULL), ('title_boost', 2.5e0, NULL), ('page_rank_weight', 0.35e0, NULL), ('coverage_weight', 0.2e0, NULL),
   ('ranking_strategy', NULL, 'bm25_field_boost_graph_pr')) v(key_name, value_num, value_text)
   UNION ALL SELECT 'avg_doc_len', round(avg(wc), 6), NULL FROM len UNION ALL SELECT 'page_count', count(*), NULL FROM pg UNION ALL SELECT 'term_count', count(*), NULL FROM trm""")
 def index_meta(spark, sf_dir):
@@ -136,7 +136,7 @@ def index_meta(spark, sf_dir):
     return meta.select("key_name", F.round("value_num", 6).alias("value_num"), "value_text")
 
 
-@query("SELECT 'bm25_field_boost_graph_pr' AS strategy, 1.2 AS k1, 0.75 AS b, 2.5 AS title_boost, 0.35 AS page_rank_weight, 0.2 AS coverage_weight, 0.9 AS phrase_weight, 0.45 AS proximity_weight, round(al, 6) AS avg_doc_len FROM av")
+@query("SELECT 'bm25_field_boost_graph_pr' AS strategy, 1.2e0 AS k1, 0.75e0 AS b, 2.5e0 AS title_boost, 0.35e0 AS page_rank_weight, 0.2e0 AS coverage_weight, 0.9e0 AS phrase_weight, 0.45e0 AS proximity_weight, round(al, 6) AS avg_doc_len FROM av")
 def meta_pivot(spark, sf_dir):
     return indexing.pivot_meta(index_of(spark, sf_dir).meta).withColumn("avg_doc_len", F.round("avg_doc_len", 6))
 
