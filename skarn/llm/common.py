@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 BLOCK_BYTES = 2 << 20  # text handled at once by the vectorised code; a longer document is its own block
@@ -66,6 +67,22 @@ def crc_bucket(col, n: int):
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def with_fields(df: DataFrame, more: str) -> StructType:
+    """The schema of df and more fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with columns named by their places, so that no name clashes with one that an operator adds."""
+    return df.toDF(*(f"__c{i}" for i in range(len(df.columns))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes in fewer splits than there are cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---------------------------------------------------------------- Arrow text
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks, written
+from .common import text_blocks, with_fields, written
 
 MAX_BYTES = 48 << 20  # of window text in one automaton
 _WORD = np.zeros(256, bool)
@@ -93,17 +93,17 @@ def scan(automaton, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
     return len(words), runs, items
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = MAX_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = MAX_BYTES, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep, n_words, n_hit, n_items, items_sha256, contaminated, items, spans of every row.
 
     spans are byte ranges (start, end) of hit words in the original UTF-8 text.
     """
     spark = docs.sparkSession
-    name = "text" if "text" in keep else "__text"
-    extra = [] if "text" in keep else [name]
-    out = docs.select(*keep, *(F.col("text").alias(x) for x in extra))
+    name = text if text in keep else "__text"
+    extra = [] if text in keep else [name]
+    kept = docs.select(*keep)
+    out = docs.select(*keep, *(F.col(text).alias(x) for x in extra))
     result = "n_words long, hits array<struct<a:long,b:long>>, items array<string>"
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
     blocks = benchmark_blocks(benchmark, window, max_bytes)
     for k, block in enumerate(blocks):
@@ -140,8 +140,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
 
         if last:
             end = "n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<a:long,b:long>>"
-            return out.mapInArrow(run, f"{fields}, {result}, {end}").drop("hits")
-        out = written(out.mapInArrow(run, ", ".join([fields, *(f"{x} string" for x in extra), result])), "hits")
+            return out.mapInArrow(run, with_fields(kept, f"{result}, {end}")).drop("hits")
+        out = written(out.mapInArrow(run, with_fields(kept, ", ".join([*(f"{x} string" for x in extra), result]))), "hits")
     raise AssertionError
 
 

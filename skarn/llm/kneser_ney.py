@@ -35,6 +35,7 @@ from .common import (
     prefix_hash,
     range_hash,
     text_blocks,
+    with_fields,
     word_ranges,
 )
 
@@ -272,8 +273,6 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 
 def score(model: Model, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row."""
-    schema = docs.select(*keep).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     def run(batches):
         for rows, data, offs in text_blocks(batches, "__text"):
@@ -290,7 +289,7 @@ def score(model: Model, docs: DataFrame, text: str = "text", keep: tuple[str, ..
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     source = docs.select(*keep, F.col(text).alias("__text"))
-    return source.mapInArrow(run, f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return source.mapInArrow(run, with_fields(docs.select(*keep), "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"))
 
 
 def held_out_scores(docs: DataFrame, folds: int = 10) -> DataFrame:

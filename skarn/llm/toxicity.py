@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, crc_bucket, prefix_hash, range_hash, text_blocks, word_ranges, written
+from .common import LOWER, U64, crc_bucket, prefix_hash, range_hash, text_blocks, with_fields, word_ranges, written
 
 SAMPLE_DOCS, SAMPLE_TEXT = 8000, 60_000
 BUCKET_BITS = 20
@@ -152,7 +152,6 @@ def score(model: Model, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), te
     offending lists sentences of p >= at_least: byte ranges in the text, and p.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, whatever the input
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     name = text if text in keep else "__text"
     place = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
@@ -170,7 +169,7 @@ def score(model: Model, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), te
             yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(found, pa.list_(place))], [*keep, "score", "predicted", "offending"])
 
     source = docs.select(*keep, *([] if text in keep else [F.col(text).alias(name)]))
-    return source.mapInArrow(run, f"{fields}, score double, predicted int, offending array<struct<start:long,end:long,p:double>>")
+    return source.mapInArrow(run, with_fields(docs.select(*keep), "score double, predicted int, offending array<struct<start:long,end:long,p:double>>"))
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:

@@ -67,3 +67,14 @@ def test_decontamination(spark, max_bytes):
         assert len(decontamination.words_of(inside.decode())) == len(hit)
     none = decontamination.decontaminate(docs, bench.limit(0)).collect()
     assert len(none) == len(texts) and not any(r.contaminated for r in none)
+
+
+def test_clashing_columns_nulls_and_no_rows(spark):
+    text = "some words of a plain text " * 3
+    rows = [(1, text, "en", 5, 1.5, "p", [1], True), (None, None, None, None, None, None, None, None), (2, "", "en", 0, 0.0, "", [], False), (2, "", "en", 0, 0.0, "", [], False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long, predicted double, hits string, items array<int>, contaminated boolean")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == (3 if name == "near_dedup" else 4) - (name == "near_dedup"), name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 4
