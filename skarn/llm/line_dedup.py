@@ -83,7 +83,8 @@ def later_copies(lines: DataFrame, runs: DataFrame) -> DataFrame:
             named = named.withColumn("y", F.lit(0).cast("long"))
         place = F.struct("o", "r", "first")
         named = written(named.select("r", "o", "first", "n", "x", "y"), "intervals")
-        leader = named.groupBy("x", "y", "n").agg(F.min(place).alias("leader"))
+        # a table of its own, so that the join below can split the rows of a very common run
+        leader = written(named.groupBy("x", "y", "n").agg(F.min(place).alias("leader")), "leaders")
         later = named.join(leader, ["x", "y", "n"]).filter(place > F.col("leader")).select("r", "first", "n")
         found = later if found is None else found.union(later)
         pairs = ranks.select("r", "pos", F.col("c").alias("x")).join(ranks.select("r", (F.col("pos") - step).alias("pos"), F.col("c").alias("y")), ["r", "pos"])
