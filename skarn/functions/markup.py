@@ -13,6 +13,8 @@ from pyspark.sql.types import StringType
 URL_CHARS, TITLE_CHARS = 2000, 512
 SNIPPET_CHARS, SNIPPET_LEAD = 220, 80
 _SPACE = r"[\s\p{Z}]+"
+#: Charsets that Spark decodes beside UTF-8.
+CHARSETS = ("US-ASCII", "ISO-8859-1", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32")
 #: Elements whose content is no text and holds no links.
 DROPPED = ("script", "style", "noscript", "nav", "footer", "header")
 #: Entities that are decoded, `&amp;` last.
@@ -25,6 +27,14 @@ def url_hash(url: Column) -> Column:
     return F.sha2(F.substring(url, 1, URL_CHARS), 256)
 
 
+def decode_bytes(raw: Column, charset: Column) -> Column:
+    """Text of bytes in a named charset, UTF-8 where none or an unknown one is named; bad bytes are replaced."""
+    out = F.decode(raw, "utf-8")
+    for name in CHARSETS:
+        out = F.when(F.lower(charset) == name.lower(), F.decode(raw, name)).otherwise(out)
+    return out
+
+
 def without_fragment(url: Column) -> Column:
     return F.split_part(url, F.lit("#"), F.lit(1))
 

@@ -72,15 +72,18 @@ def crawl_levels(pages: DataFrame, seed: str, max_pages: int = 200, refresh: boo
     spark = pages.sparkSession
     links = cut(extract_links(pages), "links")
     ready = pages.select("url").join(existing.select("url"), "url", "left_anti") if existing is not None and not refresh else pages.select("url")
-    found = spark.createDataFrame([(seed, 0)], "url string, level int").join(ready, "url", "left_semi")
-    wave, level = cut(found, "wave"), 0
+    first = spark.createDataFrame([(seed, 0)], "url string, level int").join(ready, "url", "left_semi")
+    wave, level = cut(first, "wave"), 0
     seen, saved = wave, wave.count()
     while saved < max_pages and not wave.isEmpty():
         level += 1
         new = links.join(wave.select("url"), "url", "left_semi").select(F.col("link").alias("url")).distinct()
         new = new.join(seen.select("url"), "url", "left_anti").join(ready, "url", "left_semi")
-        wave = cut(new.orderBy("url").limit(max_pages - saved).withColumn("level", F.lit(level)), "wave")
-        saved += wave.count()
+        wave = cut(new.withColumn("level", F.lit(level)), "wave")
+        found = wave.count()
+        if found > max_pages - saved:
+            wave = cut(wave.orderBy("url").limit(max_pages - saved), "wave")
+        saved += min(found, max_pages - saved)
         seen = cut(seen.unionByName(wave), "seen")
     return seen
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -49,6 +49,18 @@ def postings(pages: DataFrame) -> DataFrame:
     return found.withColumns({"tf_title": F.col("freq_title").cast("double"), "tf_body": F.col("freq_body").cast("double")})
 
 
+def positions_json(positions: Column) -> Column:
+    """Positions as JSON text, for tables that other programs read."""
+    return F.to_json(positions)
+
+
+def parse_positions(text: Column) -> Column:
+    """Positions of JSON text: bad text gives empty lists, entries that are no numbers are left out."""
+    raw = F.from_json(text, "title array<string>, body array<string>", {"mode": "PERMISSIVE"})
+    clean = {f: F.filter(F.transform(F.coalesce(raw[f], F.array()), lambda x: x.try_cast("int")), lambda x: x.isNotNull()) for f in ("title", "body")}
+    return F.struct(*(c.alias(f) for f, c in clean.items()))
+
+
 def terms(posted: DataFrame, page_count: int) -> DataFrame:
     """term, doc_freq, idf."""
     return posted.groupBy("term").agg(F.count("*").alias("doc_freq")).withColumn("idf", scoring.idf(F.lit(float(page_count)), F.col("doc_freq")))

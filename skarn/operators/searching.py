@@ -52,6 +52,13 @@ def matched_terms(index: Index, tokens: list[str]) -> DataFrame:
     return index.terms.filter(F.col("term").isin(*set(tokens)) if tokens else F.lit(False))
 
 
+def split_tokens(index: Index, tokens: DataFrame) -> DataFrame:
+    """ix, token, matched: query tokens in order, repeats kept, and whether the index has them."""
+    known = index.terms.select(F.col("term").alias("token"), F.lit(True).alias("known"))
+    found = known.join(F.broadcast(tokens.select("token").distinct()), "token", "left_semi")  # the query's tokens
+    return tokens.join(F.broadcast(found), "token", "left").select("ix", "token", F.coalesce("known", F.lit(False)).alias("matched"))
+
+
 def candidates(index: Index, tokens: list[str]) -> DataFrame:
     """Postings of the query's terms with idf and document statistics."""
     wanted = F.broadcast(matched_terms(index, tokens))  # at most one row a token

@@ -352,11 +352,12 @@ _TYPOS = ["tiom", "oueautoin", "onrene", "onreem", "tionn", "thouinro", "zzzz",
 _GRAMS_SQL = """list_distinct(list_concat(list_transform(generate_series(1, len({0}) + 1), lambda i: substring('^' || {0} || '$', i, 2)),
   CASE WHEN len({0}) > 4 THEN list_transform(generate_series(1, len({0})), lambda i: substring('^' || {0} || '$', i, 3)) ELSE [] END))"""
 _MAX_SQL = "CASE WHEN len({0}) <= 4 THEN 1 WHEN len({0}) <= 8 THEN 2 ELSE 3 END"
+_ALL_GRAMS_SQL = _GRAMS_SQL.removeprefix("list_distinct(").removesuffix(")")
 _CORRECT_SQL = f""", ask AS (SELECT unnest({_TYPOS!r}) AS token
 ), unk AS (SELECT DISTINCT token FROM ask WHERE len(token) >= 3 AND token NOT IN (SELECT term FROM trm)
-), gram_of AS (SELECT token, unnest({_GRAMS_SQL.format('token')}) AS gram, len({_GRAMS_SQL.format('token')}) AS keys FROM unk
+), gram_of AS (SELECT token, unnest({_GRAMS_SQL.format('token')}) AS gram, len({_GRAMS_SQL.format('token')}) AS keys, {_ALL_GRAMS_SQL.format('token')} AS line FROM unk
 ), lex AS (SELECT term, df, unnest({_GRAMS_SQL.format('term')}) AS gram FROM trm
-), ov AS (SELECT token, term AS cand, df, keys, count(*) AS overlap FROM gram_of JOIN lex USING (gram) WHERE abs(len(term) - len(token)) <= {_MAX_SQL.format('token')} GROUP BY ALL
+), ov AS (SELECT token, term AS cand, df, keys, count(*) AS overlap, min(list_position(line, gram)) AS first_gram FROM gram_of JOIN lex USING (gram) WHERE abs(len(term) - len(token)) <= {_MAX_SQL.format('token')} GROUP BY ALL
 ), near AS (SELECT *, damerau_levenshtein(token, cand) AS distance FROM ov
 ), scored AS (SELECT *, overlap / keys::DOUBLE * 2.2 + CASE WHEN token[1] = cand[1] THEN 0.25 ELSE 0 END + ln(1 + df) * 0.08 - distance * 0.95 AS score FROM near WHERE distance <= {_MAX_SQL.format('token')})"""
 
@@ -382,10 +383,32 @@ def edit_distance_candidates(spark, sf_dir):
     return spelling.scored_candidates(spelling.unknown_tokens(_asked(spark), terms), terms).select("token", "cand", "distance", F.round("score", 6).alias("score"))
 
 
-@query(_CORRECT_SQL + ", best AS (SELECT token, max(score) AS score FROM scored WHERE score >= 0.15 GROUP BY token) SELECT token, round(score, 6) AS score FROM best")
+_BEST_SQL = _CORRECT_SQL + ", best AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, df DESC, first_gram, cand) AS r FROM scored WHERE score >= 0.15)"
+
+
+@query(_BEST_SQL + " SELECT token, cand AS correction, CAST(distance AS INTEGER) AS distance, round(score, 6) AS score FROM best WHERE r = 1")
 def corrections(spark, sf_dir):
     terms = index_of(spark, sf_dir).terms
-    return spelling.corrections(spelling.unknown_tokens(_asked(spark), terms), terms).select("token", F.round("score", 6).alias("score"))
+    return spelling.corrections(spelling.unknown_tokens(_asked(spark), terms), terms).select("token", "correction", "distance", F.round("score", 6).alias("score"))
+
+
+@query(_BEST_SQL + """, asked AS (SELECT generate_subscripts(t, 1) - 1 AS ix, unnest(t) AS token FROM (SELECT """ + repr(_TYPOS) + """ AS t))
+  SELECT CAST(ix AS INTEGER) AS ix, a.token, coalesce(cand, a.token) AS term, CAST(distance AS INTEGER) AS distance FROM asked a LEFT JOIN (FROM best WHERE r = 1) b ON a.token = b.token""")
+def corrected_query(spark, sf_dir):
+    return spelling.correct_tokens(_asked(spark), index_of(spark, sf_dir).terms)
+
+
+@query(", asked AS (SELECT generate_subscripts(t, 1) - 1 AS ix, unnest(t) AS token FROM (SELECT " + repr(_TYPOS) + " AS t)) SELECT CAST(ix AS INTEGER) AS ix, token, token IN (SELECT term FROM trm) AS matched FROM asked")
+def matched_tokens(spark, sf_dir):
+    return searching.split_tokens(index_of(spark, sf_dir), _asked(spark))
+
+
+@query(_positional_sql("tion er"))
+def search_corrected(spark, sf_dir):
+    """A misspelt query finds what the words spelt right find."""
+    i = index_of(spark, sf_dir)
+    fixed = spelling.correct_tokens(spelling.token_rows(spark, query_tokens("tiom er")), i.terms).orderBy("ix").collect()  # the query's tokens
+    return _shown(searching.page_of(searching.score_positional(i, [r.term for r in fixed], config_of(i, "positional")), 1, 20), 4)
 
 
 # ---------------------------------------------------------------- suggestions, administration
@@ -433,6 +456,16 @@ def query_history(spark, sf_dir):
     return suggesting.query_history(asked)
 
 
+@query(f", {_LOG_SQL} SELECT date_trunc('hour', crawled_at) AS hour, CAST(status AS INTEGER) AS status, count(*) AS n FROM log GROUP BY ALL")
+def stream_fetches_by_hour(spark, sf_dir):
+    """The windows of fetches_by_hour, counted by a stream over the table's files."""
+    counts = ingest.hourly_fetches(tables.crawl_log(tables.stream(spark, sf_dir, "events")).withColumn("crawled_at", F.col("crawled_at").cast("timestamp")))
+    kept: list[DataFrame] = []
+    running = counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: kept.append(cut(df, "hours"))).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return kept[-1].withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
 @query(f" SELECT count(*) AS candidate_pool FROM post WHERE term IN {_list(query_tokens('tion er st'))}")
 def candidate_pool(spark, sf_dir):
     return searching.candidates(index_of(spark, sf_dir), query_tokens("tion er st")).agg(F.count("*").alias("candidate_pool"))
@@ -490,6 +523,38 @@ def links_extracted(spark, sf_dir):
     return links.select(markup.without_fragment(F.col("url")).alias("url"), "link").distinct()
 
 
+@query(" SELECT term, page_id, len(pt) AS n_title, len(pb) AS n_body, '{\"title\":[' || array_to_string(pt, ',') || '],\"body\":[' || array_to_string(pb, ',') || ']}' AS positions FROM post")
+def positions_json(spark, sf_dir):
+    """Positions to JSON and back."""
+    text = index_of(spark, sf_dir).postings.select("term", "page_id", indexing.positions_json(F.col("positions")).alias("positions"))
+    back = indexing.parse_positions(F.col("positions"))
+    return text.select("term", "page_id", F.size(back["title"]).cast("long").alias("n_title"), F.size(back["body"]).cast("long").alias("n_body"), "positions")
+
+
+@query(""", r AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, '/' || regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1) AS path FROM pages)
+  SELECT page_id FROM r WHERE page_id % 5 > 0 AND host IN (SELECT host FROM r WHERE page_id % 5 > 0) AND path NOT LIKE '/p%' """)
+def robots_allowed(spark, sf_dir):
+    """Every known host disallows /p; hosts without rules would be denied."""
+    pages = web_pages(spark, sf_dir).filter("page_id % 5 > 0")
+    rules = pages.select(F.expr("try_parse_url(url, 'AUTHORITY')").alias("host"), F.lit("/p").alias("prefix")).distinct()
+    return crawling.allowed(pages.select("page_id", "url"), rules).select("page_id")
+
+
+@query(" SELECT page_id FROM pages WHERE page_id % 4 > 0 AND page_id % 3 > 0")
+def pages_admitted(spark, sf_dir):
+    fetched = web_pages(spark, sf_dir).withColumns({"status": F.when(F.col("page_id") % 4 > 0, 200).otherwise(404), "content_type": F.when(F.col("page_id") % 3 > 0, "text/HTML; charset=utf-8").otherwise("image/png")})
+    return crawling.admitted(fetched).select("page_id")
+
+
+@query(", e AS (SELECT 'https://h.example/' || page_id AS url, page_id FROM pages), lv(page_id, level) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT lv.page_id * 2 + k, level + 1 FROM lv, (VALUES (1), (2)) v(k) WHERE lv.page_id * 2 + k IN (SELECT page_id FROM e)) SELECT 'https://h.example/' || page_id AS url, level FROM lv")
+def crawl_levels(spark, sf_dir):
+    """Breadth-first levels over a binary tree of links."""
+    at = F.col("page_id")
+    link = F.concat(F.lit('<a href="'), (at * 2 + 1).cast("string"), F.lit('">l</a><a href="/'), (at * 2 + 2).cast("string"), F.lit('#x">r</a>'))
+    tree = web_pages(spark, sf_dir).select(F.concat(F.lit("https://h.example/"), at.cast("string")).alias("url"), link.alias("html"))
+    return crawling.crawl_levels(tree, "https://h.example/0", max_pages=1_000_000_000)
+
+
 _UPSERT_SQL = """, old AS (SELECT page_id, url, 'old' AS title, TIMESTAMP '2024-01-01' AS crawled_at FROM pages WHERE page_id % 3 > 0
 ), new AS (SELECT NULL AS page_id, url, 'new' AS title, TIMESTAMP '2024-02-01' AS crawled_at FROM pages WHERE page_id % 3 < 2 AND page_id % 3 > 0)"""
 
