@@ -27,7 +27,7 @@ from .common import text_blocks, written
 from .tokens import Cutter, piece_ids
 
 END_ID = 2
-LP_STEPS, SHARE = 1, 0.5  # steps a length, share of a length covered by a step
+LP_STEPS, SHARE = 2, 0.25  # steps a length, share of a length covered by a step
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
@@ -107,7 +107,7 @@ def solve_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
         used[key] = used.get(key, 0.0) + times
         if covered.min() >= 1:
             break
-    scale = max(1.0, float(np.median(covered)))
+    scale = max(1.0, float(covered.max()))  # what is left over is then of the same mix as the whole
     return [(dict(k), x / scale) for k, x in used.items()]
 
 
