@@ -166,3 +166,29 @@ def byte_spans(data: np.ndarray, hits: list[dict]) -> list[dict]:
 
 def digests(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     return decontaminate(docs, benchmark, window).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS_SQL = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+#: The same rows in DuckDB SQL: windows as joined strings.
+ORACLE_SQL = f"""
+WITH item AS (
+  SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0
+), wanted AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS line FROM (SELECT item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM item)
+), doc AS (
+  SELECT doc_id, {_WORDS_SQL} AS w FROM documents
+), found AS (
+  SELECT doc_id, i, n, item_id FROM (
+    SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS line FROM (
+      SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc, (SELECT DISTINCT n FROM wanted) WHERE len(w) >= n))
+  JOIN wanted USING (n, line)
+), hits AS (
+  SELECT doc_id, count(DISTINCT at_word) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS at_word FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM found GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -67,4 +67,8 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op2_suffix_array_dedup": substring_dedup.ORACLE_SQL,
+    "op4_decontamination": decontamination.ORACLE_SQL,
+    "op10_line_dedup": line_dedup.ORACLE_SQL,
+}

@@ -374,3 +374,30 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return with_row_key(docs).mapInArrow(run, fields + (", spans array<struct<start:long,end:long>>, kept binary" if with_text else ""))
+
+
+#: The same rows in DuckDB SQL: digests of all windows, written out in hexadecimal.
+ORACLE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, s, md5(substring(h, 2 * s + 1, {2 * LENGTH})) AS m
+  FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - {LENGTH})) AS s FROM d WHERE len(h) >= {2 * LENGTH})
+), hit AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1
+), run AS (
+  SELECT doc_id, s, sum(CASE WHEN s <= last + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS island
+  FROM (SELECT doc_id, s, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -{2 * LENGTH}) AS last FROM hit)
+), span AS (
+  SELECT doc_id, min(s) AS a, max(s) + {LENGTH} AS b, row_number() OVER (PARTITION BY doc_id ORDER BY min(s)) AS k FROM run GROUP BY doc_id, island
+), gap AS (
+  SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+  UNION ALL SELECT doc_id, max(b), NULL FROM span GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id
+), rest AS (
+  SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a, b NULLS LAST) AS h FROM gap JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
