@@ -92,3 +92,15 @@ def test_stream(spark, tmp_path):
         first = page[0].page_id
     table = spark.createDataFrame([("2024-01-01 00:10:00", 200), ("2024-01-01 00:50:00", 200), ("2024-01-01 01:10:00", 0)], "t string, status int").selectExpr("timestamp(t) AS crawled_at", "status")
     assert sorted(r.n for r in ingest.hourly_fetches(table).collect()) == [1, 2]
+
+
+def test_bytes_and_lenient_positions(spark):
+    from skarn.operators import indexing
+
+    rows = [(bytearray("é".encode("latin-1")), "ISO-8859-1"), (bytearray("é".encode()), None), (bytearray("é".encode()), "x-unknown")]
+    df = spark.createDataFrame(rows, "raw binary, charset string")
+    assert [r[0] for r in df.select(markup.decode_bytes(F.col("raw"), F.col("charset"))).collect()] == ["é"] * 3
+    texts = ['{"title":[1,2],"body":[]}', '{"title":["x",3,null]}', "nonsense", None, "[]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.p.title, r.p.body) for r in df.select("i", indexing.parse_positions(F.col("t")).alias("p")).collect()}
+    assert got == {0: ([1, 2], []), 1: ([3], []), 2: ([], []), 3: ([], []), 4: ([], [])}
