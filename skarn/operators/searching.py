@@ -34,8 +34,9 @@ def build_index(pages: DataFrame, edges: DataFrame | None = None, keep=cut) -> I
     spark = pages.sparkSession
     count = pages.count()
     counted = cut(indexing.postings(spread(pages)), "counted")  # else the sampling of ranges would count everything twice
-    posted = keep(counted.repartitionByRange("term").sortWithinPartitions("term", "page_id"), "postings")
-    terms = keep(indexing.terms(posted, count), "terms")
+    # ranges of (term, page_id): a term that most pages hold is spread over several files
+    posted = keep(counted.repartitionByRange("term", "page_id").sortWithinPartitions("term", "page_id"), "postings")
+    terms = keep(indexing.terms(posted, count).repartitionByRange("term").sortWithinPartitions("term"), "terms")
     lengths = indexing.doc_lengths(pages, posted)
     ranks = graph.page_rank(edges, pages) if edges is not None and count else None
     stats = keep(indexing.doc_stats(lengths, ranks), "page_rank")

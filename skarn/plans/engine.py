@@ -51,7 +51,7 @@ class SearchEngine:
         if edges is None:
             edges = graph.resolve_edges(self.store.table("crawl_edges"), pages)
         self._config, self._index = None, None
-        found = searching.build_index(pages, edges, keep=lambda df, name: self.store.overwrite(name, df, by="term" if name in ("postings", "terms") else None))
+        found = searching.build_index(pages, edges, keep=lambda df, name: self.store.overwrite(name, df))
         return {"pages": pages.count(), "terms": found.terms.count(), "postings": found.postings.count()}
 
     @property

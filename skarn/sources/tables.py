@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup
@@ -50,8 +50,6 @@ def crawl_log(events: DataFrame) -> DataFrame:
 
 def host_chain(pages: DataFrame) -> DataFrame:
     """Links from each page to the next of its host: edges (src, dst) of page ids."""
-    from pyspark.sql import Window
-
     host = F.expr("try_parse_url(url, 'HOST')")
     after = F.lead("page_id").over(Window.partitionBy("host").orderBy("page_id"))
     return pages.withColumn("host", host).select(F.col("page_id").alias("src"), after.alias("dst")).filter("dst IS NOT NULL")
@@ -87,11 +85,9 @@ class Store:
             return self.spark.createDataFrame([], schema.TABLES[name])
         return self.spark.read.parquet(f"{self.path}/{name}/{version}")
 
-    def overwrite(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
-        """Replaces a table; rows sorted by a column keep its statistics tight, so that filters skip files."""
+    def overwrite(self, name: str, df: DataFrame) -> DataFrame:
+        """Replaces a table. Rows come as they are partitioned and sorted, so sorted keys keep statistics tight."""
         version = f"v-{uuid.uuid4().hex}"
-        if by:
-            df = df.repartitionByRange(by).sortWithinPartitions(by)
         df.write.parquet(f"{self.path}/{name}/{version}")
         fs, pointer = self._file(self._pointer(name))
         out = fs.create(pointer, True)
