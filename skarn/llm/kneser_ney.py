@@ -40,6 +40,7 @@ from .common import (
 )
 
 SLICES = 8
+MANY = 255
 BEGIN, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 FLUSH_TOKENS = 1_500_000
 
@@ -116,7 +117,7 @@ def _joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _merge_pairs(pairs: MappedTable, word_parts: int):
+def _merge_pairs(pairs: MappedTable, many: MappedTable, word_parts: int):
     def merge(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         context, tokens, n = _joined(table.column("context"), U64), _joined(table.column("token"), U64), _joined(table.column("n"), np.uint32)
@@ -126,7 +127,9 @@ def _merge_pairs(pairs: MappedTable, word_parts: int):
         new = runs(own)
         n = np.add.reduceat(n[order].astype(np.int64), new)
         own, context, tokens = own[new], context[order][new], tokens[order][new]
-        pairs.write(part, own, n)
+        pairs.write(part, own, np.minimum(n, MANY))
+        often = n >= MANY
+        many.write(part, own[often], n[often])
         of_counts = np.bincount(np.minimum(n, 5), minlength=6)[1:5].astype(np.int64)
         rows: list = [(-1, 2, b"", b"", of_counts.tobytes(), b"")]
 
@@ -210,7 +213,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 @dataclass
 class Model:
-    pairs: MappedTable
+    pairs: MappedTable  # counts in a byte, MANY and above in a table of their own
+    many: MappedTable
     words: MappedTable
     tokens: int
     types: int
@@ -224,8 +228,11 @@ class Model:
         unique, where = np.unique(np.concatenate([tokens, context]), return_inverse=True)
         _, raw, cont, ones, twos, more = self.words.lookup(unique)
         of_token, of_context = where[: len(tokens)], where[len(tokens) :]
-        _, n = self.pairs.lookup(pair_keys(context, tokens)[1])
+        keys = pair_keys(context, tokens)[1]
+        _, n = self.pairs.lookup(keys)
         n = n.astype(np.int64)
+        often = np.flatnonzero(n == MANY)
+        n[often] = self.many.lookup(keys[often])[1]
 
         def cut(d, k):
             return np.array([0.0, *d])[np.minimum(k, 3)]
@@ -257,18 +264,19 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     parts = 1 << (parts_for(source, 1.5) - 1).bit_length()
     word_parts = max(4, parts // 4)
     folder = mapped_folder(spark, "lm")
-    for name in ("pairs", "words"):
+    for name in ("pairs", "many", "words"):
         os.makedirs(f"{folder}/{name}", exist_ok=True)
-    pairs = MappedTable(f"{folder}/pairs", parts, ("u4",))
+    pairs = MappedTable(f"{folder}/pairs", parts, ("u1",))
+    many = MappedTable(f"{folder}/many", parts, ("u8",))
     words = MappedTable(f"{folder}/words", word_parts, ("u8", "u4", "u4", "u4", "u4"))
     counted = source.mapInArrow(_count_pairs(parts), "part int, context binary, token binary, n binary")
-    merged = counted.groupBy("part").applyInArrow(_merge_pairs(pairs, word_parts), "word_part int, kind int, h binary, total binary, counts binary")
+    merged = counted.groupBy("part").applyInArrow(_merge_pairs(pairs, many, word_parts), "word_part int, kind int, h binary, total binary, counts binary")
     sums = merged.groupBy("word_part").applyInArrow(_merge_words(words), "word_part int, tokens long, types long, cont array<long>, pairs array<long>").collect()  # a row for each part
     cont, of_pairs = np.zeros(6, np.int64), np.zeros(4, np.int64)
     for r in sums:
         cont[: len(r.cont)] += np.array(r.cont)
         of_pairs += np.array(r.pairs)
-    return Model(pairs, words, sum(r.tokens for r in sums), sum(r.types for r in sums), discounts(*map(int, of_pairs)), discounts(*map(int, cont[:4])), (int(cont[0]), int(cont[1]), int(cont[4])), int(cont[5]))
+    return Model(pairs, many, words, sum(r.tokens for r in sums), sum(r.types for r in sums), discounts(*map(int, of_pairs)), discounts(*map(int, cont[:4])), (int(cont[0]), int(cont[1]), int(cont[4])), int(cont[5]))
 
 
 def score(model: Model, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

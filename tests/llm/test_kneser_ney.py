@@ -9,7 +9,7 @@ from skarn.llm import kneser_ney
 
 TEXTS = ["The cat sat", "the cat ran", None, "", "a b the  cat\tsat on the mat", "the the the", "dog dog dog cat ran"] * 6 + [
     f"word{i} the cat w{i % 7} x{i % 5}" for i in range(40)
-]
+] + ["often and " * 90] * 5
 
 
 def words(text):
