@@ -18,6 +18,7 @@ import sys
 from array import array
 from collections import Counter
 from functools import lru_cache
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from .common import U64, MappedTable, mapped_folder, parts_for, text_blocks
 
 #: Fixed value: the pattern by which this kind of vocabulary cuts texts before it merges.
 PIECE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-HELD_PIECES = 120_000  # pre-tokens a worker keeps
+HELD_PIECES = 120_000  # pre-tokens whose ids a worker keeps
+HELD_COUNTS = 300_000  # pre-tokens whose numbers of tokens a worker keeps
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -141,7 +143,7 @@ def _distinct_pieces(path: str, parts: int):
         for _, _, _, texts in _texts(batches):
             for text in texts:
                 seen.update(cut(text))
-            if len(seen) > 2 * HELD_PIECES:
+            if len(seen) > HELD_COUNTS:
                 yield from flush()
                 seen.clear()
         if seen:
@@ -176,15 +178,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         cut, known = Cutter(path), {}
         for rows, _, offs, texts in _texts(batches):
             frequencies = [Counter(cut(t)) for t in texts]
-            new = list({p for f in frequencies for p in f if p not in known})
-            if new:
-                if len(known) > HELD_PIECES:
-                    known, new = {}, list({p for f in frequencies for p in f})
+            pieces = set().union(*frequencies)
+            if len(known) > HELD_COUNTS:
+                known = {}
+            if new := list(pieces.difference(known)):
                 found, n = table.lookup(np.array([piece_hash(p) for p in new], U64))
                 if not found.all():
                     raise RuntimeError("the table of pre-tokens is not whole")
                 known.update(zip(new, n.tolist(), strict=True))
-            totals = np.array([sum(known[p] * k for p, k in f.items()) for f in frequencies], np.int64)
+            totals = np.array([sum(map(mul, map(known.__getitem__, f), f.values())) for f in frequencies], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array(np.diff(offs)), pa.array(totals), pa.array([sum(f.values()) for f in frequencies], pa.int64()), pa.array(totals > limit)],
                 ["doc_id", "n_bytes", "n_tokens", "n_pieces", "over_limit"],
