@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: a document is toxic if one of its sentences is.
 
-A sentence's score is logistic in hashed weights of its words and word beginnings; a document's is the noisy-or of its sentences,
-1 - prod(1 - p). Weights are trained from document labels alone, through the noisy-or, so that blame
+A sentence's score is logistic in hashed weights of its words and word beginnings; a document's is
+the noisy-or of its sentences, 1 - prod(1 - p), in which sentences without any feature that speaks
+for toxicity count little, however many there are. Weights are trained from document labels alone, through the noisy-or, so that blame
 falls on the sentences that tell toxic documents from clean ones; these can then be located.
 
 The classifier is fitted on a bounded sample: at most SAMPLE_DOCS labelled rows, those of the smallest
@@ -29,7 +30,10 @@ BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 STEMS = (4, 5, 6, 7, 8)  # bytes of a word's beginning that are features beside the word
 STEPS, RATE, SHRINK = 60, 0.05, 2e-4
-SIGMAS, START_BIAS = 2.5, -6.0  # features whose log-odds are within so many deviations of 0 stay out
+# Sentences without any feature that speaks for toxicity: share of their evidence that counts, and the
+# most that all of a document's can count; they rank documents but never make one toxic.
+QUIET, QUIET_MOST = 0.3, 0.05
+SIGMAS, START_BIAS = 2.5, -4.0  # features whose log-odds are within so many deviations of 0 stay out
 
 _GAP = np.ones(256, bool)
 _GAP[48:58] = _GAP[97:123] = _GAP[128:] = False
@@ -42,28 +46,43 @@ def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     low = LOWER[data]
     starts, ends, per_row = word_ranges(low, offs, _GAP)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
     prefix = prefix_hash(low)
-    features = [range_hash(prefix, starts, ends)]
-    for n in STEMS:  # a word shorter than the stem repeats its whole form, under another name
-        features.append(range_hash(prefix, starts, np.minimum(starts + n, ends)) * U64(2 * n + 1))
-    buckets = (np.stack(features, axis=1) >> U64(64 - BUCKET_BITS)).astype(np.int64).ravel()
+    features = np.empty((len(starts), 1 + len(STEMS)), np.int32)
+    features[:, 0] = range_hash(prefix, starts, ends) >> U64(64 - BUCKET_BITS)
+    for k, n in enumerate(STEMS, 1):  # a word shorter than the stem repeats its whole form, under another name
+        features[:, k] = range_hash(prefix, starts, np.minimum(starts + n, ends)) * U64(2 * n + 1) >> U64(64 - BUCKET_BITS)
     row = np.repeat(np.arange(len(per_row)), per_row)
     number = np.searchsorted(np.flatnonzero(_STOP[low]), starts) + row
     first = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (row[1:] != row[:-1])]))
     last = np.concatenate([first[1:], [len(starts)]]) - 1
-    return buckets, first * len(features), row[first], np.stack([starts[first], ends[last]], axis=1)
+    return features.ravel(), first * features.shape[1], row[first], np.stack([starts[first], ends[last]], axis=1)
 
 
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
+    alerts: np.ndarray  # features that speak for toxicity
 
     def evidence(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """-log(1 - p) of each sentence."""
+        """-log(1 - p) of each sentence, were it the only one."""
         return np.logaddexp(0, np.add.reduceat(self.weights[buckets], first) + self.bias) if len(first) else np.zeros(0)
 
+    def totals(self, evidence: np.ndarray, loud: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """-log(1 - p) of each row: all of its loud sentences; of the others a share, within a bound."""
+        quiet = QUIET * np.bincount(row, np.where(loud, 0, evidence), n)
+        return np.bincount(row, np.where(loud, evidence, 0), n) - QUIET_MOST * np.expm1(-quiet / QUIET_MOST)
+
+
+def alerted(alerts: np.ndarray, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sentences with some feature that speaks for toxicity."""
+    return np.add.reduceat(alerts[buckets], first, dtype=np.int32) > 0 if len(first) else np.zeros(0, bool)
+
+
+def silent() -> Model:
+    return Model(np.zeros(BUCKETS), -40.0, np.zeros(BUCKETS, bool))
+
 
 def train(column: np.ndarray, sentence: np.ndarray, doc: np.ndarray, labels: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the noisy-or likelihood, with shrinkage.
@@ -105,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
 
     totals = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if totals.keys() != {0, 1}:
-        return Model(np.zeros(BUCKETS), -40.0)
+        return silent()
     a, c = F.col("a") + 0.5, F.col("c") + 0.5
     odds = F.log(a / (totals[1] + 1)) - F.log(c / (totals[0] + 1))
     telling = texts.mapInArrow(count, "bucket long, a long, c long").groupBy("bucket").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
@@ -113,15 +132,22 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     chosen = {r.bucket: r.start for r in telling.select("bucket", "start").collect()}  # at most BUCKETS
     names = np.array(sorted(chosen), np.int64)
     start = np.array([chosen[b] for b in names.tolist()])
+    if not len(names):
+        return silent()
     place = np.full(BUCKETS, -1, np.int32)
     place[names] = np.arange(len(names))
+    alerts = np.zeros(BUCKETS, bool)
+    alerts[names[start > 0]] = True
 
     def features(batches):
         for rows, data, offs in text_blocks(batches):
             buckets, first, row, _ = sentences(data, offs)
+            use = alerted(alerts, buckets, first)
+            of = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(buckets)]])))
             column = place[buckets]
-            sentence = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(buckets)]])))[column >= 0]
-            column = column[column >= 0]
+            kept = (column >= 0) & use[of]
+            column, row = column[kept], row[use]
+            sentence = (np.cumsum(use) - 1)[of[kept]]
             heads = np.searchsorted(row, np.arange(len(rows) + 1))
             cuts = np.searchsorted(sentence, heads)
             rel = (sentence - np.repeat(heads[:-1], np.diff(cuts))).astype(np.int32)
@@ -143,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     weights, bias = train(np.concatenate(columns), sentence, np.repeat(np.arange(len(got)), per_doc), np.array([r.label for r in got]), start)
     out = np.zeros(BUCKETS)
     out[names] = weights
-    return Model(out, bias)
+    return Model(out, bias, alerts)
 
 
 def score(model: Model, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", at_least: float = 0.5) -> DataFrame:
@@ -159,9 +185,9 @@ def score(model: Model, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), te
         model = shared.value
         for rows, data, offs in text_blocks(batches, name):
             buckets, first, row, ranges = sentences(data, offs)
-            evidence = model.evidence(buckets, first)
-            scores = -np.expm1(-np.bincount(row, evidence, len(rows)))
-            p = -np.expm1(-evidence)
+            evidence, loud = model.evidence(buckets, first), alerted(model.alerts, buckets, first)
+            scores = -np.expm1(-model.totals(evidence, loud, row, len(rows)))
+            p = np.where(loud, -np.expm1(-evidence), 0.0)
             found: list[list[dict]] = [[] for _ in range(len(rows))]
             for s in np.flatnonzero(p >= at_least):
                 a, b = ranges[s] - offs[row[s]]
