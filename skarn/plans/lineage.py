@@ -12,7 +12,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a Parquet table under spark.checkpoint.dir, or under a temporary folder where none is set."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="skarn-shared-")
         sc.setCheckpointDir(base)
