@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 U64 = np.uint64
-BLOCK_BYTES = 2 << 20  # text handled at once by the vectorised code; a longer document is its own block
+BLOCK_BYTES = 1 << 20  # text handled at once by the vectorised code; a longer document is its own block
 
 
 # ---------------------------------------------------------------- shared folder
@@ -22,7 +22,7 @@ BLOCK_BYTES = 2 << 20  # text handled at once by the vectorised code; a longer d
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session (`spark.checkpoint.dir`); one is set only where none is."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="skarn-shared-")
         sc.setCheckpointDir(named)
