@@ -9,8 +9,8 @@ most `max_bytes` of window text, measured before any worker sees them; there is
 the benchmark is larger than that, and then one pass a block, whose hits are merged.
 
 Null and empty texts have no words and no hits. An item without words has no window; an item of
-fewer words than a window is one window. Repeated items are counted by id, once. Null item ids are
-left out of the items' list. Repeated document rows are judged each. An empty benchmark leaves every
+fewer words than a window is one window. Repeated items are counted by id, once. Windows of items
+of null id are hits; only the id is left out of the items. Repeated document rows are judged each. An empty benchmark leaves every
 document clean. Only the ids and the texts are read, so other columns cannot clash.
 """
 
@@ -42,11 +42,11 @@ def windows_of(text: str | None, window: int) -> list[bytes]:
     return [b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))] if words else []
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int, max_bytes: int) -> list[list[tuple[str, str]]]:
+def benchmark_blocks(benchmark: DataFrame, window: int, max_bytes: int) -> list[list[tuple[str | None, str]]]:
     """(item_id, text) by block. Items are fetched one partition at a time; a block's bytes are bounded."""
-    blocks: list[list[tuple[str, str]]] = [[]]
+    blocks: list[list[tuple[str | None, str]]] = [[]]
     size = 0
-    items = benchmark.select(F.col("item_id").cast("string"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("string"), "text").filter(F.col("text").isNotNull())
     for item, text in items.toLocalIterator():
         own = sum(len(w) for w in windows_of(text, window))
         if size + own > max_bytes and blocks[-1]:
@@ -58,14 +58,14 @@ def benchmark_blocks(benchmark: DataFrame, window: int, max_bytes: int) -> list[
 
 
 @lru_cache(maxsize=1)
-def _automaton(items: tuple[tuple[str, str], ...], window: int):
+def _automaton(items: tuple[tuple[str | None, str], ...], window: int):
     """The automaton of a block; bytes stand as characters 0 to 255, so that positions are bytes."""
     import ahocorasick
 
     owners: dict[bytes, set[str]] = {}
     for item, text in items:
         for w in windows_of(text, window):
-            owners.setdefault(w, set()).add(item)
+            owners.setdefault(w, set()).update(() if item is None else (item,))
     automaton = ahocorasick.Automaton()
     for w, ids in owners.items():
         automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(ids)))
