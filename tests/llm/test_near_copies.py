@@ -68,3 +68,10 @@ def test_sets_equal_brute_force():
     found = near_copies.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), offs)
     assert [len(s) for s in found] == [len(s) for s in brute_sets(texts)]
     assert near_copies.similar(found[0], found[0]) and not near_copies.similar(found[0], found[1])
+
+
+def test_rows_that_share_an_id_stay_if_no_copies(spark):
+    rows = [(1, "first text of its own with many words"), (1, "second quite different text of that id"), (1, "first text of its own with many words"), (None, "third one has no id at all here"), (None, "fourth one neither but other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted(set(rows), key=str)
