@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,10 +22,15 @@ BLOCK_BYTES = 1 << 20  # text handled at once by the vectorised code; a longer d
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session (`spark.checkpoint.dir`); one is set only where none is."""
+    """The shared folder of the session (`spark.checkpoint.dir`).
+
+    Where none is set, a local master gets a temporary folder; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         named = "file://" + tempfile.mkdtemp(prefix="skarn-shared-")
         sc.setCheckpointDir(named)
     elif not sc.getCheckpointDir():
@@ -200,14 +207,19 @@ def write_atomic(path: str, *arrays: np.ndarray) -> None:
 
 
 class MappedTable:
-    """Sorted 64-bit hashes with value columns, one file a part; lookups map the files."""
+    """Sorted 64-bit keys with value columns, one file a part; lookups map the files.
+
+    Keys fall into parts by themselves, or by a second hash that deals them. `seal` writes down which
+    parts have a file, so that a file that is missing later is an error and not an empty part.
+    """
 
     def __init__(self, folder: str, parts: int, kinds: tuple[str, ...]):
         self.folder, self.parts, self.kinds = folder, parts, kinds
         self._maps: dict[int, tuple] = {}
+        self._sealed: np.ndarray | None = None
 
     def __getstate__(self):
-        return {"folder": self.folder, "parts": self.parts, "kinds": self.kinds, "_maps": {}}
+        return {"folder": self.folder, "parts": self.parts, "kinds": self.kinds, "_maps": {}, "_sealed": None}
 
     def path(self, part: int) -> str:
         return f"{self.folder}/{part}.bin"
@@ -215,9 +227,21 @@ class MappedTable:
     def write(self, part: int, keys: np.ndarray, *values: np.ndarray) -> None:
         write_atomic(self.path(part), keys.astype(U64), *(v.astype(k) for v, k in zip(values, self.kinds, strict=True)))
 
+    def seal(self, stored: DataFrame | set[int]) -> None:
+        """Runs the job that writes the parts (its column part names them), or takes their numbers, and notes which there are."""
+        numbers = {r.part for r in stored.select("part").collect()} if isinstance(stored, DataFrame) else stored  # a number for each part
+        there = np.zeros(self.parts, np.uint8)
+        there[sorted(numbers)] = 1
+        write_atomic(f"{self.folder}/parts", there)
+
+    def remove(self) -> None:
+        shutil.rmtree(self.folder)
+
     def part(self, part: int) -> tuple:
         if part not in self._maps:
-            if not os.path.exists(self.path(part)):  # no key fell into this part
+            if self._sealed is None:
+                self._sealed = np.fromfile(f"{self.folder}/parts", np.uint8)[8:]
+            if not self._sealed[part]:  # no key fell into this part
                 self._maps[part] = (np.zeros(0, U64), *(np.zeros(0, k) for k in self.kinds))
             else:
                 raw = np.memmap(self.path(part), np.uint8, "r")
@@ -229,18 +253,16 @@ class MappedTable:
                 self._maps[part] = tuple(found)
         return self._maps[part]
 
-    def lookup(self, keys: np.ndarray, fill: int = 0) -> list[np.ndarray]:
+    def lookup(self, keys: np.ndarray, fill: int = 0, deal: np.ndarray | None = None) -> list[np.ndarray]:
         """[found, *values] for each key; the keys are sorted first, so that pages are read in order."""
-        order = np.argsort(keys)
-        keys_in_order = keys[order]
+        part = part_of(keys if deal is None else deal, self.parts)
+        order = np.argsort(keys) if deal is None else np.lexsort((keys, part))
+        keys_in_order, part = keys[order], part[order]
         found = np.zeros(len(keys), bool)
         values = [np.full(len(keys), fill, k) for k in self.kinds]
-        cuts = np.searchsorted(part_of(keys_in_order, self.parts), np.arange(self.parts + 1))
-        for p in range(self.parts):
-            a, b = cuts[p], cuts[p + 1]
-            if a == b:
-                continue
-            table, *columns = self.part(p)
+        some = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        for a, b in zip(some.tolist(), [*some[1:].tolist(), len(part)], strict=False):
+            table, *columns = self.part(int(part[a]))
             if not len(table):
                 continue
             at = np.minimum(np.searchsorted(table, keys_in_order[a:b]), len(table) - 1)
@@ -252,6 +274,11 @@ class MappedTable:
         return [found, *values]
 
 
-def parts_for(df: DataFrame, factor: float = 1.0, least: int = 8, most: int = 8192) -> int:
-    """Number of parts of a mapped table: follows the number of input splits."""
-    return int(min(most, max(least, round(factor * df.rdd.getNumPartitions()))))
+PART_BYTES = 4 << 20  # input bytes, as the plan estimates them, for each part of a mapped table
+_UNKNOWN = 1 << 60  # estimates from here on are none
+
+
+def parts_for(df: DataFrame, factor: float = 1.0, least: int = 8) -> int:
+    """Number of parts of a mapped table: follows the input's bytes, so that a part's size does not grow with it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, round(factor * (size / PART_BYTES if size < _UNKNOWN else df.rdd.getNumPartitions())))

@@ -131,7 +131,7 @@ def _merge_pairs(pairs: MappedTable, many: MappedTable, word_parts: int):
         often = n >= MANY
         many.write(part, own[often], n[often])
         of_counts = np.bincount(np.minimum(n, 5), minlength=6)[1:5].astype(np.int64)
-        rows: list = [(-1, 2, b"", b"", of_counts.tobytes(), b"")]
+        rows: list = [(-1, 2, np.int64(part).tobytes(), b"", of_counts.tobytes(), b"")]
 
         order = np.argsort(context)
         new = runs(c := context[order])
@@ -167,7 +167,7 @@ def _merge_words(words: MappedTable):
         kinds, h, total, counts = (table.column(k).to_pylist() for k in ("kind", "h", "total", "counts"))
         if part < 0:
             found = np.sum([np.frombuffer(x, np.int64) for x in counts], axis=0)
-            return pa.Table.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([[0] * 4], pa.list_(pa.int64())), pa.array([found.tolist()], pa.list_(pa.int64()))], names)
+            return pa.Table.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([np.frombuffer(b"".join(h), np.int64).tolist()], pa.list_(pa.int64())), pa.array([found.tolist()], pa.list_(pa.int64()))], names)
         keys, columns = [], []
         for kind, a, b, c in zip(kinds, h, total, counts, strict=True):
             a = np.frombuffer(a, U64)
@@ -273,8 +273,12 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     merged = counted.groupBy("part").applyInArrow(_merge_pairs(pairs, many, word_parts), "word_part int, kind int, h binary, total binary, counts binary")
     sums = merged.groupBy("word_part").applyInArrow(_merge_words(words), "word_part int, tokens long, types long, cont array<long>, pairs array<long>").collect()  # a row for each part
     cont, of_pairs = np.zeros(6, np.int64), np.zeros(4, np.int64)
+    words.seal({r.word_part for r in sums if r.word_part >= 0})
+    for table in (pairs, many):
+        table.seal({p for r in sums if r.word_part < 0 for p in r.cont})
     for r in sums:
-        cont[: len(r.cont)] += np.array(r.cont)
+        if r.word_part >= 0:
+            cont[: len(r.cont)] += np.array(r.cont)
         of_pairs += np.array(r.pairs)
     return Model(pairs, many, words, sum(r.tokens for r in sums), sum(r.types for r in sums), discounts(*map(int, of_pairs)), discounts(*map(int, cont[:4])), (int(cont[0]), int(cont[1]), int(cont[4])), int(cont[5]))
 

@@ -1,21 +1,26 @@
 """Exact removal of repeated strings: every byte covered by a LENGTH-byte string that starts elsewhere too.
 
-Equal strings are brought together without shuffling the corpus. Each LENGTH-byte window has an anchor,
-its least GRAM-byte piece by hash, so equal windows have equal anchors at equal places. Windows of one
-anchor form two bands by the anchor's place; a band's windows share BAND_BYTES bytes, whose hash is its
-key. One pass counts the bands' keys and contexts (all bytes of a band's windows), pre-aggregated per
-task, and keeps those that meet another as sorted hash arrays in the shared folder. The second pass
-looks its bands up: a context that stands elsewhere as a whole is repeated in all windows; contexts
-that share only a key (one copy of each distinct one) go to the suffix arrays.
-
-There, the blocks of the contexts' right sides, from the anchor on, make one text; its suffix array
-(linear grouping construction, `suffix_groups`) orders the contexts, longest common prefixes of
-neighbours are taken in bytes, and windows of equal left sides are compared by range minima over them.
+Suffix arrays over the candidates' bytes decide what is repeated; anchors only bring candidates together,
+so that the corpus is never shuffled. Each LENGTH-byte window has an anchor, its least GRAM-byte piece by
+hash, so equal windows have equal anchors at equal places. The windows of one anchor form a unit; its
+bytes are its context, and the piece that all its windows share is its key.
+
+1. One pass counts keys and contexts, by hash and pre-aggregated per task. What meets another stands as
+   sorted hash arrays in the shared folder, with two occurrences to speak for each distinct context.
+2. The second pass sends the bytes of these two to the suffix arrays, key by key. The contexts of some
+   keys make one text, whose suffix array is built by linear grouping (`suffix_groups`); a window is
+   repeated exactly if a neighbour in it begins with the same LENGTH bytes, which are compared as bytes.
+3. The third pass looks every unit up among the contexts with repeated windows, by 128 bits of hash.
+
+A key of more than KEY_CONTEXTS distinct contexts (a line that very many texts share) is never compared
+in one task: its units are split in halves by the place of the anchor in the window. Halves share longer
+pieces, meet under keys of their own, and equal ones are again represented by two, so that a unit of one
+window, the last step, never has more than two to compare.
 
 Matches never cross rows. Windows are judged on the input. Null texts count as empty; texts shorter
-than LENGTH lose nothing. Rows are identified by (doc_id, text), so repeated rows, which repeat each
-other, all get the same result. Null ids are kept as they are. An empty table gives no rows. Only
-doc_id and text are read, so other columns cannot clash.
+than LENGTH lose nothing, and a text of any length is handled whole. Rows are told apart by (doc_id,
+text); rows equal in both repeat each other and all get the same result. Null ids are kept as they are.
+An empty table gives no rows. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -41,25 +46,48 @@ from .common import (
     written,
 )
 from .kneser_ney import runs
-from .suffix_groups import suffix_array
+from .suffix_groups import ranges, suffix_arrays
 
 LENGTH, GRAM = 400, 128
 GRAMS = LENGTH - GRAM + 1  # pieces in a window
-NEAR = (GRAMS - 1) // 2  # the first band's anchors begin at most so far inside their windows
-BAND_BYTES = GRAM + NEAR
-BLOCK = 32  # bytes of a symbol of the suffix array's text
-CHUNK = 4000  # contexts of one suffix array, more only if one key has more
+KEY_CONTEXTS = 64  # distinct contexts of one key that are compared at once
+BATCH = 1 << 21  # symbols whose suffix arrays are built at once
 FLUSH = 400_000
+SPLIT = 0xFFFF  # stands for the windows of a context whose unit was split
 _LOW = U64((1 << 24) - 1)
 
 
-def bands(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
-    """Bands of all windows: row, anchor, first and last window (positions in data), key, context hash."""
-    empty = {k: np.zeros(0, U64 if k in ("key", "context") else np.int64) for k in ("row", "anchor", "lo", "hi", "key", "context")}
+class Units:
+    """Runs of windows lo..hi (positions in data) of one anchor, whose places in the windows lie in [near, far]."""
+
+    def __init__(self, prefix: np.ndarray, row, anchor, lo, hi, near, far):
+        self.row, self.anchor, self.lo, self.hi, self.near, self.far = row, anchor, lo, hi, near, far
+        with np.errstate(over="ignore"):
+            shared = range_hash(prefix, anchor - near, anchor - far + LENGTH)
+            self.key = mix(shared + near.astype(U64) * U64(0x632BE59BD9B4E019))
+            self.context = mix(range_hash(prefix, lo, hi + LENGTH) + (anchor - lo).astype(U64) * U64(0x9FB21C651E98DF25) + self.key)
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+    def halves(self, prefix: np.ndarray, some: np.ndarray) -> Units:
+        """The units some, split by the middle of [near, far]."""
+        row, anchor, lo, hi, near, far = (x[some] for x in (self.row, self.anchor, self.lo, self.hi, self.near, self.far))
+        middle = (near + far) // 2
+        low = [row, anchor, np.maximum(lo, anchor - middle), hi, near, middle]
+        high = [row, anchor, lo, np.minimum(hi, anchor - middle - 1), middle + 1, far]
+        row, anchor, lo, hi, near, far = (np.concatenate(x) for x in zip(low, high, strict=True))
+        real = lo <= hi
+        return Units(prefix, *(x[real] for x in (row, anchor, lo, hi, near, far)))
+
+
+def units(data: np.ndarray, offs: np.ndarray) -> tuple[Units, np.ndarray]:
+    """Units of all windows, and the prefix sums that hash data."""
     n = len(data)
-    if n < LENGTH or np.diff(offs).max() < LENGTH:
-        return empty
     prefix = prefix_hash(data)
+    none = np.zeros(0, np.int64)
+    if n < LENGTH or np.diff(offs).max() < LENGTH:
+        return Units(prefix, none, none, none, none, none, none), prefix
     at = np.arange(n - GRAM + 1)
     order = (range_hash(prefix, at, at + GRAM) & ~_LOW) | (at.astype(U64) & _LOW)  # ties go to the first
     padded = np.full(-(-len(order) // GRAMS) * GRAMS, ~U64(0))
@@ -76,35 +104,42 @@ def bands(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     valid[offs[long]] += 1
     valid[np.minimum(offs[long + 1] - LENGTH + 1, windows)] -= 1
     valid = np.cumsum(valid[:-1]) > 0
-    side = start >= anchor - NEAR
     new = valid.copy()
-    new[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1]) | (side[1:] != side[:-1])
+    new[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1])
     lo = np.flatnonzero(new)
     stop = np.flatnonzero(valid & ~np.concatenate([valid[1:], [False]]))
-    nxt = np.concatenate([lo[1:], [windows]]) - 1
-    hi = np.minimum(nxt, stop[np.searchsorted(stop, lo)])
-    a, first = anchor[lo], side[lo]
-    key_at = np.where(first, a, a - NEAR - 1)
-    key_end = np.where(first, a + BAND_BYTES, a + GRAM)
-    with np.errstate(over="ignore"):
-        key = mix(range_hash(prefix, key_at, key_end) + first.astype(U64) * U64(0x632BE59BD9B4E019))
-        context = mix(range_hash(prefix, lo, hi + LENGTH) + (a - lo).astype(U64) * U64(0x9FB21C651E98DF25) + key)
-    return {"row": np.searchsorted(offs, lo, "right") - 1, "anchor": a, "lo": lo, "hi": hi, "key": key, "context": context}
+    hi = np.minimum(np.concatenate([lo[1:], [windows]]) - 1, stop[np.searchsorted(stop, lo)])
+    row = np.searchsorted(offs, lo, "right") - 1
+    return Units(prefix, row, anchor[lo], lo, hi, np.zeros(len(lo), np.int64), np.full(len(lo), GRAMS - 1)), prefix
 
 
-def table_key(key: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return (key & U64(0xFFFF000000000000)) | (context & U64(0x0000FFFFFFFFFFFF))
+def checks(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64 more bits of hash of contexts, of another kind."""
+    raw = memoryview(np.ascontiguousarray(data))
+    found = [hashlib.blake2b(raw[a : b + LENGTH], digest_size=8).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), U64)
 
 
-def _owner(rows: pa.RecordBatch, b: dict, offs: np.ndarray) -> np.ndarray:
-    """A number for each occurrence of a band."""
-    ids = np.asarray(rows.column("row_key")).view(U64)[b["row"]]
+# ---------------------------------------------------------------- candidates
+
+
+def _owner(rows: pa.RecordBatch, u: Units, offs: np.ndarray) -> np.ndarray:
+    """A number for each occurrence of a unit."""
+    ids = np.asarray(rows.column("row_key")).view(U64)[u.row]
     with np.errstate(over="ignore"):
-        return mix(ids + (b["lo"] - offs[b["row"]]).astype(U64) * U64(0xA24BAED4963EE407))
+        return mix(ids + (u.lo - offs[u.row]).astype(U64) * U64(0xA24BAED4963EE407))
+
+
+def _distinct(key, context, n, least, most) -> tuple[np.ndarray, ...]:
+    """One entry for each key and context: occurrences, the least and the greatest of their numbers."""
+    order = np.lexsort((context, key))
+    key, context = key[order], context[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])]))
+    return key[new], context[new], np.add.reduceat(n[order], new), np.minimum.reduceat(least[order], new), np.maximum.reduceat(most[order], new)
 
 
 def _count(parts: int):
-    names = ["part", "key", "context", "n", "owner"]
+    names = ["part", "key", "context", "n", "least", "most"]
 
     def run(batches):
         held: list = []
@@ -112,19 +147,16 @@ def _count(parts: int):
 
         def flush():
             key, context, owner = (np.concatenate([h[k] for h in held]) for k in range(3))
-            order = np.lexsort((owner, context, key))
-            key, context, owner = key[order], context[order], owner[order]
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])]))
-            n = np.diff(np.concatenate([new, [len(key)]])).astype(np.uint32)
-            key, context, owner = key[new], context[new], owner[new]
-            cuts = np.searchsorted(part_of(key, parts), np.arange(parts + 1))
-            some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([a[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()) for a in (key, context, n, owner))], names)
+            found = _distinct(key, context, np.ones(len(key), np.int64), owner, owner)
+            cuts = np.searchsorted(part_of(found[0], parts), np.arange(parts + 1))
+            some = np.flatnonzero(cuts[:-1] < cuts[1:]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([a[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()) for a in found)], names)
 
         for rows, data, offs in text_blocks(batches):
-            b = bands(data, offs)
-            held.append((b["key"], b["context"], _owner(rows, b, offs)))
-            size += len(b["key"])
+            u, _ = units(data, offs)
+            if len(u):
+                held.append((u.key, u.context, _owner(rows, u, offs)))
+                size += len(u)
             if size >= FLUSH:
                 yield from flush()
                 held, size = [], 0
@@ -134,155 +166,171 @@ def _count(parts: int):
     return run
 
 
-def _repeated(table: MappedTable):
+def _candidates(table: MappedTable):
+    """Stores contexts that stand more than once or meet another of their key: context, key is hot, speakers."""
+
     def run(rows: pa.Table) -> pa.Table:
         def joined(name, kind):
             return np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
 
         part = rows.column("part")[0].as_py()
-        key, context, n, owner = joined("key", U64), joined("context", U64), joined("n", np.uint32), joined("owner", U64)
-        order = np.lexsort((owner, context, key))
-        key, context, owner, n = key[order], context[order], owner[order], n[order].astype(np.int64)
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])]))
-        n = np.add.reduceat(n, new)
-        key, context, owner = key[new], context[new], owner[new]
+        key, context, n, least, most = _distinct(joined("key", U64), joined("context", U64), joined("n", np.int64), joined("least", U64), joined("most", U64))
         first = runs(key)
         kinds = np.diff(np.concatenate([first, [len(key)]]))
-        several = np.repeat(kinds > 1, kinds)
-        keep = several | (n > 1)
-        found = table_key(key[keep], context[keep])
-        order = np.argsort(found)
-        flags = (n[keep] > 1).astype(np.uint8) + 2 * several[keep].astype(np.uint8)
-        table.write(part, found[order], flags[order], owner[keep][order])
-        return pa.Table.from_arrays([pa.array([part], pa.int32()), pa.array([int(keep.sum())], pa.int64())], ["part", "n"])
+        kinds = np.repeat(kinds, kinds)
+        keep = np.flatnonzero((kinds > 1) | (n > 1))
+        keep = keep[np.argsort(context[keep])]
+        copies = np.where((n > 1) & (least == most), 2, 1)  # all in equal rows, at the same place
+        flags = copies[keep] + 4 * (kinds[keep] > KEY_CONTEXTS)
+        table.write(part, context[keep], flags, least[keep], most[keep])
+        return pa.Table.from_arrays([pa.array([part], pa.int32()), pa.array([len(keep)], pa.int64())], ["part", "n"])
 
     return run
 
 
-def _spans_and_contexts(table: MappedTable):
-    names = ["row_key", "start", "end", "key", "whole", "left", "bytes"]
+_CONTEXT = "key long, context long, check long, near int, far int, left int, copies int, hot boolean, bytes binary"
+
+
+def _rows_of(u: Units, some: np.ndarray, data: np.ndarray, copies: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    lo, hi = u.lo[some], u.hi[some]
+    raw = [data[a : b + LENGTH].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+    columns = [u.key[some].view(np.int64), u.context[some].view(np.int64), checks(data, lo, hi).view(np.int64), *(x.astype(np.int32) for x in (u.near[some], u.far[some], u.anchor[some] - lo, copies)), hot]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(raw, pa.binary())], [f.split()[0] for f in _CONTEXT.split(", ")])
+
+
+def _speakers(table: MappedTable):
+    """The bytes of two occurrences of each candidate."""
 
     def run(batches):
         for rows, data, offs in text_blocks(batches):
-            b = bands(data, offs)
-            if not len(b["key"]):
-                continue
-            found, flags, owner = table.lookup(table_key(b["key"], b["context"]))
-            whole = found & (flags & 1 > 0)
-            asks = found & (flags & 2 > 0) & (~whole | (owner == _owner(rows, b, offs)))
-            ids, base = np.asarray(rows.column("row_key")), offs[b["row"]]
-            at = np.flatnonzero(whole)
-            if len(at):  # neighbouring windows make one span
-                row, lo, end = b["row"][at], b["lo"][at], b["hi"][at] + LENGTH
-                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] > end[:-1])]))
-                last = np.concatenate([new[1:], [len(at)]]) - 1
-                n = len(new)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row[new]]), pa.array(lo[new] - base[at][new]), pa.array(end[last] - base[at][new]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                    names,
-                )
-            for some in np.array_split(at := np.flatnonzero(asks), len(at) // 20_000 + 1) if asks.any() else ():
-                raw = [data[i:j].tobytes() for i, j in zip(b["lo"][some], b["hi"][some] + LENGTH, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[b["row"][some]]),
-                        pa.array(b["lo"][some] - base[some]),
-                        pa.array(b["hi"][some] - base[some]),
-                        pa.array(b["key"][some].view(np.int64)),
-                        pa.array(whole[some]),
-                        pa.array((b["anchor"][some] - b["lo"][some]).astype(np.int32)),
-                        pa.array(raw, pa.binary()),
-                    ],
-                    names,
-                )
+            u, _ = units(data, offs)
+            found, flags, least, most = table.lookup(u.context, deal=u.key)
+            owner = _owner(rows, u, offs)
+            at = np.flatnonzero(found & ((owner == least) | (owner == most)))
+            for some in np.array_split(at, len(at) // 10_000 + 1):
+                yield _rows_of(u, some, data, flags[some] & 3, flags[some] >= 4)
 
     return run
 
 
-def repeated_windows(keys: np.ndarray, lefts: np.ndarray, raw: list[bytes]) -> list[np.ndarray]:
-    """For contexts of sorted keys: which of a context's windows stand in another context of its key too."""
-    text: list[int] = []
-    starts, blocks = np.empty(len(raw), np.int64), []
-    for i, (x, left) in enumerate(zip(raw, lefts.tolist(), strict=True)):
-        starts[i] = len(blocks)
-        blocks += [x[k : k + BLOCK] for k in range(left, len(x), BLOCK)]
-        blocks.append(b"")
-    symbol = {x: k + 1 for k, x in enumerate(sorted(set(blocks)))}  # the empty block, an end, is least
-    text = [symbol[x] for x in blocks]
-    text.append(0)
-    rank = np.empty(len(text), np.int64)
-    rank[suffix_array(text)] = np.arange(len(text))
-
-    group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
-    order = np.lexsort((rank[starts], group))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    widths = np.array([len(x) for x in raw]) - lefts
-    common = np.zeros(len(order), np.int64)  # with the context before, in bytes
-    for a in range(1, len(order), 8192):
-        some = np.arange(a - 1, min(len(order), a + 8192))
-        sides = np.zeros((len(some), LENGTH + 1), np.uint8)
-        for k, i in enumerate(order[some].tolist()):
-            sides[k, : widths[i]] = np.frombuffer(raw[i], np.uint8)[lefts[i] :]
-        differ = sides[1:] != sides[:-1]
-        differ[:, LENGTH] = True
-        shared = np.minimum(differ.argmax(axis=1), np.minimum(widths[order[some[1:]]], widths[order[some[:-1]]]))
-        common[some[1:]] = np.where(group[order[some[1:]]] == group[order[some[:-1]]], shared, 0)
-    levels = [common]
-    while 2 << (len(levels) - 1) <= len(common):
-        half = 1 << (len(levels) - 1)
-        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
-
-    flat = np.frombuffer(b"".join(raw), np.uint8)
-    base = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-    prefix = prefix_hash(flat)
-    counts = np.diff(base) - LENGTH + 1
-    owner = np.repeat(np.arange(len(raw)), counts)
-    window = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    left = lefts[owner] - window
-    with np.errstate(over="ignore"):
-        side = mix(range_hash(prefix, base[owner] + window, base[owner] + lefts[owner]) + group[owner].astype(U64) * U64(0x9E3779B97F4A7C15) + left.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-    by = np.lexsort((place[owner], side))
-    same = np.flatnonzero(side[by][1:] == side[by][:-1])
-    a, b = by[same], by[same + 1]
-    i, j = place[owner[a]] + 1, place[owner[b]]  # the least of common[i..j]
-    level = np.log2(j - i + 1).astype(np.int64)
-    least = np.empty(len(a), np.int64)
-    for k in np.unique(level):
-        at = level == k
-        least[at] = np.minimum(levels[k][i[at]], levels[k][j[at] - (1 << int(k)) + 1])
-    hit = least >= LENGTH - left[a]
-    repeated = np.zeros(len(owner), bool)
-    repeated[a[hit]] = repeated[b[hit]] = True
-    return np.split(repeated, np.cumsum(counts)[:-1])
+def _halves(batches):
+    """Halves of the units of hot keys."""
+    for batch in batches:
+        for rows, data, offs in text_blocks([batch], "bytes", 1 << 20):
+            if not len(rows):
+                continue
+            left, near, far, copies = (np.asarray(rows.column(c)).astype(np.int64) for c in ("left", "near", "far", "copies"))
+            lo, hi, prefix = offs[:-1], offs[1:] - LENGTH, prefix_hash(data)
+            whole = Units(prefix, np.arange(len(rows)), lo + left, lo, hi, near, far)
+            u = whole.halves(prefix, np.arange(len(rows)))
+            yield _rows_of(u, np.arange(len(u)), data, copies[u.row], np.zeros(len(u), bool))
+
+
+def split_hot(rows: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts to compare, and contexts that were split, from those of the second pass."""
+    cold, split = [rows.filter(~F.col("hot"))], []
+    hot = rows.filter("hot")
+    while not hot.isEmpty():  # at most log2(GRAMS) + 1 rounds
+        split.append(hot.select("context", "check").distinct())
+        halves = hot.mapInArrow(_halves, _CONTEXT)
+        same = ["key", "context", "check", "near", "far", "left"]
+        halves = written(halves.groupBy(same).agg(F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"), F.first("bytes").alias("bytes")), "halves")
+        kinds = halves.groupBy("key").agg(F.count("*").alias("kinds"), F.max("copies").alias("most")).filter("kinds > 1 OR most > 1")
+        halves = halves.join(kinds, "key").withColumn("hot", F.col("kinds") > KEY_CONTEXTS)
+        halves = written(halves.select([f.split()[0] for f in _CONTEXT.split(", ")]), "halves")
+        cold.append(halves.filter(~F.col("hot")))
+        hot = halves.filter("hot")
+    return cold, split
+
+
+# ---------------------------------------------------------------- suffix arrays
+
+
+def equal_windows(flat: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether the LENGTH symbols from p on equal those from q on, for positions p in ascending order."""
+    equal = np.ones(len(p), bool)
+    for k in (LENGTH - 1, 0, LENGTH // 2, LENGTH - 2):  # leaves few pairs that differ
+        equal &= flat[p + k] == flat[q + k]
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return equal
+    a, shift = p[at], q[at] - p[at]
+    new = np.flatnonzero(np.concatenate([[True], (shift[1:] != shift[:-1]) | (a[1:] > a[:-1] + LENGTH)]))
+    last = np.concatenate([new[1:], [len(at)]]) - 1
+    width = a[last] - a[new] + LENGTH  # neighbouring windows of one shift are compared as one stretch
+    stretch = np.repeat(np.arange(len(new)), last - new + 1)
+    base = np.cumsum(width) - width
+    place = ranges(a[new], width)
+    wrong = np.concatenate([[0], np.cumsum(flat[place] != flat[place + np.repeat(shift[new], width)])])
+    begin = base[stretch] + a - a[new][stretch]
+    equal[at] = wrong[begin + LENGTH] == wrong[begin]
+    return equal
+
+
+def repeated_windows(keys: np.ndarray, raw: list[bytes], copies: np.ndarray) -> list[np.ndarray]:
+    """For contexts of sorted keys: which windows of each stand elsewhere in the contexts of its key.
+
+    A context of two copies counts as standing twice.
+    """
+    edges = np.concatenate([runs(keys), [len(keys)]])
+    entry = np.repeat(np.arange(len(raw)), copies)
+    symbols = np.array([len(x) for x in raw])[entry] + 1
+    total = np.concatenate([[0], np.cumsum(symbols)])
+    cuts = np.searchsorted(entry, edges)  # entries of each key
+    sizes = total[cuts[1:]] - total[cuts[:-1]]
+    out: list[np.ndarray] = [np.zeros(0, bool)] * len(raw)
+    by_size = np.argsort(sizes, kind="stable")
+    batch = np.cumsum(sizes[by_size]) // BATCH
+    for texts in np.split(by_size, np.flatnonzero(np.diff(batch)) + 1):
+        own = entry[ranges(cuts[texts], cuts[texts + 1] - cuts[texts])]
+        lengths = np.array([len(raw[i]) for i in own])
+        flat = np.frombuffer(b"\0".join([*(raw[i] for i in own.tolist()), b""]), np.uint8).astype(np.uint16) + 3
+        ends = np.cumsum(lengths + 1)
+        flat[ends - 1] = 2  # between contexts
+        offs = np.concatenate([[0], np.cumsum(sizes[texts])])
+        flat[offs[1:] - 1] = 1  # the end of a text
+        order = suffix_arrays(flat, offs) + np.repeat(offs[:-1], np.diff(offs))
+        window = np.zeros(len(flat), bool)
+        window[ranges(ends - 1 - lengths, lengths - LENGTH + 1)] = True
+        new = np.zeros(len(flat), bool)
+        new[offs[:-1]] = True
+        at = np.flatnonzero(window[order[1:]] & window[order[:-1]] & ~new[1:])
+        p, q = order[at + 1], order[at]
+        by = np.argsort(p)
+        p, q = p[by], q[by]
+        equal = equal_windows(flat, p, q)
+        repeated = np.zeros(len(flat), bool)
+        repeated[p[equal]] = repeated[q[equal]] = True
+        for i, end, n in zip(own.tolist(), ends.tolist(), lengths.tolist(), strict=True):
+            out[i] = repeated[end - 1 - n : end - LENGTH]  # copies of a context have equal results
+    return out
 
 
 def _compare(rows: pa.Table) -> pa.Table:
+    """context, check, first, last of the runs of repeated windows, counted from the context's first."""
     key = rows.column("key").to_numpy()
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((rows.column("check").to_numpy(), rows.column("context").to_numpy(), key))
     rows, key = rows.take(pa.array(order)), key[order]
-    first = np.concatenate([runs(key), [len(key)]])
-    cuts = [0]
-    for k in first[1:].tolist():
-        if k - cuts[-1] >= CHUNK or k == len(key):
-            cuts.append(k)
+    context, check = rows.column("context").to_numpy(), rows.column("check").to_numpy()
+    # equal contexts become one of two copies, however many times rows that are equal sent them
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1]) | (check[1:] != check[:-1])])) if len(key) else np.zeros(0, np.int64)
+    copies = np.minimum(np.add.reduceat(rows.column("copies").to_numpy().astype(np.int64), new), 2) if len(new) else new
+    raw = rows.column("bytes").take(pa.array(new)).to_pylist()
     out: list[tuple] = []
-    for a, b in pairwise(cuts):
-        own = rows.slice(a, b - a)
-        raw, left = own.column("bytes").to_pylist(), own.column("left").to_numpy().astype(np.int64)
-        whole, ids, start = (own.column(c).to_pylist() for c in ("whole", "row_key", "start"))
-        for i, windows in enumerate(repeated_windows(key[a:b], left, raw)):
-            if whole[i] or not windows.any():
-                continue
+    for i, windows in zip(new.tolist(), repeated_windows(key[new], raw, copies), strict=True):
+        if windows.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], windows.astype(np.int8), [0]])))
-            out += [(ids[i], start[i] + int(x), start[i] + int(y) - 1 + LENGTH) for x, y in zip(edge[::2], edge[1::2], strict=True)]
-    columns = list(zip(*out, strict=True)) or [[], [], []]
-    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row_key", "start", "end"])
+            out += [(context[i], check[i], a, b - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+    columns = list(zip(*out, strict=True)) or [[], [], [], []]
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["context", "check", "first", "last"])
 
 
-def _span_key(row_key: np.ndarray, k: np.ndarray | int) -> np.ndarray:
+# ---------------------------------------------------------------- results
+
+
+def _run_key(context: np.ndarray, check: np.ndarray, k: np.ndarray | int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(row_key.view(U64) + np.asarray(k).astype(U64) * U64(0x8CB92BA72F3D8DD7))
+        return mix(context + mix(check + np.asarray(k).astype(U64) * U64(0x8CB92BA72F3D8DD7)))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -295,85 +343,119 @@ def merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def repeated_spans(docs: DataFrame) -> MappedTable:
-    """Maximal repeated byte ranges of each row, as a mapped table by (row, number of the range)."""
+def repeated_contexts(docs: DataFrame) -> MappedTable:
+    """Runs of repeated windows of each context that has any, by (context, number of the run).
+
+    Values: check, number of runs, first and last window; SPLIT stands for the halves of the unit.
+    """
     spark = docs.sparkSession
     source = with_row_key(docs).select("row_key", "text")
-    parts = 1 << (parts_for(source, 1.5) - 1).bit_length()
-    table = MappedTable(mapped_folder(spark, "bands"), parts, ("u1", "u8"))
-    counted = source.mapInArrow(_count(parts), "part int, key binary, context binary, n binary, owner binary")
-    counted.groupBy("part").applyInArrow(_repeated(table), "part int, n long").agg(F.sum("n")).collect()
-
-    fields = "row_key long, start long, end long, key long, whole boolean, left int, bytes binary"
-    found = written(source.mapInArrow(_spans_and_contexts(table), fields), "contexts")
-    contexts = found.filter(F.col("key").isNotNull())
-    tasks = int((contexts.count() * (LENGTH + GRAMS // 2)) // (8 << 20)) + 8
-    compared = contexts.groupBy(F.pmod("key", F.lit(tasks)).alias("task")).applyInArrow(_compare, "row_key long, start long, end long")
-    spans = found.filter(F.col("key").isNull()).select("row_key", "start", "end").union(compared).distinct()
-
-    by_row = spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
-    out = MappedTable(mapped_folder(spark, "spans"), parts, ("u4", "u8", "u8"))
+    parts = parts_for(source, 1.5)
+    table = MappedTable(mapped_folder(spark, "candidates"), parts, ("u1", "u8", "u8"))
+    counted = source.mapInArrow(_count(parts), "part int, key binary, context binary, n binary, least binary, most binary")
+    table.seal(counted.groupBy("part").applyInArrow(_candidates(table), "part int, n long"))
+
+    cold, split = split_hot(written(source.mapInArrow(_speakers(table), _CONTEXT), "contexts"))
+    contexts = cold[0]
+    for more in cold[1:]:
+        contexts = contexts.union(more)
+    tasks = int(contexts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // (8 << 20) + 8
+    compared = contexts.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task")).applyInArrow(_compare, "context long, check long, first long, last long")
+    for more in split:
+        compared = compared.union(more.select("context", "check", F.lit(SPLIT).cast("long"), F.lit(SPLIT).cast("long")))
+    by_context = compared.groupBy("context", "check").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # of one context
+
+    parts = max(8, parts // 8)
+    out = MappedTable(mapped_folder(spark, "repeated"), parts, ("u8", "u2", "u2", "u2"))
 
     def deal(batches):
         for batch in batches:
             rows: list[tuple] = []
-            for row, own in zip(batch.column("row_key").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                own = merged((s["start"], s["end"]) for s in own)
-                rows += [(row, k, len(own), a, b) for k, (a, b) in enumerate(own)]
-            columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)] or [np.zeros(0, np.int64)] * 5
-            key = _span_key(columns[0], columns[1])
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(key, parts).astype(np.int32)), pa.array(key.view(np.int64)), *map(pa.array, columns[2:])], ["part", "key", "n", "start", "end"])
+            for context, check, own in zip(batch.column("context").to_pylist(), batch.column("check").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                own = sorted((s["first"], s["last"]) for s in own)
+                rows += [(context, check, k, len(own), a, b) for k, (a, b) in enumerate(own)]
+            columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)] or [np.zeros(0, np.int64)] * 6
+            key = _run_key(columns[0].view(U64), columns[1].view(U64), columns[2])
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(key, parts).astype(np.int32)), pa.array(key.view(np.int64)), *map(pa.array, (columns[1], *columns[3:]))], ["part", "key", "check", "n", "first", "last"])
 
     def store(rows: pa.Table) -> pa.Table:
         key = rows.column("key").to_numpy().view(U64)
         order = np.argsort(key)
         part = rows.column("part")[0].as_py()
-        out.write(part, key[order], *(rows.column(c).to_numpy()[order] for c in ("n", "start", "end")))
-        return pa.Table.from_arrays([pa.array([part], pa.int32())], ["part"])
+        check = rows.column("check").to_numpy().view(U64)
+        out.write(part, key[order], check[order], *(rows.column(c).to_numpy()[order] for c in ("n", "first", "last")))
+        return pa.Table.from_arrays([pa.array([part], pa.int32()), pa.array([len(order)], pa.int64())], ["part", "n"])
 
-    by_row.mapInArrow(deal, "part int, key long, n long, start long, end long").groupBy("part").applyInArrow(store, "part int").count()
+    out.seal(by_context.mapInArrow(deal, "part int, key long, check long, n long, first long, last long").groupBy("part").applyInArrow(store, "part int, n long"))
+    table.remove()
     return out
 
 
+def spans_of(table: MappedTable, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, start and end (positions in data) of maximal repeated byte ranges."""
+    u, prefix = units(data, offs)
+    row, start, end = [], [], []
+    while len(u):
+        check = checks(data, u.lo, u.hi)
+        key = _run_key(u.context, check, 0)
+        found, own, n, first, last = table.lookup(key)
+        found &= own == check
+        halve = found & (first == SPLIT)
+        at = np.flatnonzero(found & ~halve)
+        more = np.maximum(n[at].astype(np.int64) - 1, 0)
+        again, number = np.repeat(at, more), ranges(np.ones(len(at), np.int64), more)
+        _, _, _, first_of, last_of = table.lookup(_run_key(u.context[again], check[again], number))
+        at, first, last = np.concatenate([at, again]), np.concatenate([first[at], first_of]), np.concatenate([last[at], last_of])
+        row.append(u.row[at])
+        start.append(u.lo[at] + first)
+        end.append(u.lo[at] + last + LENGTH)
+        u = u.halves(prefix, np.flatnonzero(halve))
+    if not row:
+        return (np.zeros(0, np.int64),) * 3
+    row, start, end = map(np.concatenate, (row, start, end))
+    order = np.lexsort((end, start, row))
+    row, start, end = row[order], start[order], end[order]
+    if not len(row):
+        return row, start, end
+    # positions ascend with the row, so ends do so too
+    reach = np.maximum.accumulate(end)
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] > reach[:-1])]))
+    return row[new], start[new], reach[np.concatenate([new[1:], [len(row)]]) - 1]
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64(F.col("doc_id"), F.col("text")).alias("row_key"))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans, kept: remaining bytes) of every row."""
-    table = repeated_spans(docs)
+    table = repeated_contexts(docs)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
         for rows, data, offs in text_blocks(batches):
-            ids = np.asarray(rows.column("row_key"))
-            found, n, start, end = table.lookup(_span_key(ids, 0))
-            spans: dict[int, list[tuple[int, int]]] = {i: [(int(start[i]), int(end[i]))] for i in np.flatnonzero(found).tolist()}
-            n = np.where(found, n, 0).astype(np.int64)
-            row = np.repeat(np.arange(len(ids)), np.maximum(n - 1, 0))
-            number = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(n - 1, 0)) - np.maximum(n - 1, 0), np.maximum(n - 1, 0)) + 1
-            _, _, start, end = table.lookup(_span_key(ids[row], number))
-            for i, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True):
-                spans[i].append((a, b))
-            removed, digest, kept = np.zeros(len(ids), np.int64), [], []
-            for i in range(len(ids)):
+            row, start, end = spans_of(table, data, offs)
+            cuts = np.searchsorted(row, np.arange(len(rows) + 1))
+            removed, digest, kept, spans = np.zeros(len(rows), np.int64), [], [], []
+            for i, (a, b) in enumerate(pairwise(cuts.tolist())):
                 own = data[offs[i] : offs[i + 1]]
-                if i in spans:
-                    edges = [0, *(x for s in spans[i] for x in s), len(own)]
-                    raw = b"".join(own[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True))
+                raw = own.tobytes()
+                if a < b:
+                    edges = [0, *np.stack([start[a:b], end[a:b]], axis=1).ravel() - offs[i], len(own)]
+                    raw = b"".join(own[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2], strict=True))
                     removed[i] = len(own) - len(raw)
-                else:
-                    raw = own.tobytes()
                 digest.append(hashlib.sha256(raw).hexdigest())
-                kept.append(raw)
-            columns = [rows.column("doc_id"), pa.array(np.diff(offs)), pa.array(removed), pa.array(n), pa.array(digest)]
+                if with_text:
+                    kept.append(raw)
+                    spans.append([{"start": int(x - offs[i]), "end": int(y - offs[i])} for x, y in zip(start[a:b], end[a:b], strict=True)])
+            columns = [rows.column("doc_id"), pa.array(np.diff(offs)), pa.array(removed), pa.array(np.diff(cuts).astype(np.int64)), pa.array(digest, pa.string())]
             if with_text:
-                columns += [pa.array([[{"start": a, "end": b} for a, b in spans.get(i, [])] for i in range(len(ids))], pa.list_(pair)), pa.array(kept, pa.binary())]
+                columns += [pa.array(spans, pa.list_(pair)), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names + (["spans", "kept"] if with_text else []))
 
     fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return with_row_key(docs).mapInArrow(run, fields + (", spans array<struct<start:long,end:long>>, kept binary" if with_text else ""))
+    return docs.select("doc_id", "text").mapInArrow(run, fields + (", spans array<struct<start:long,end:long>>, kept binary" if with_text else ""))
 
 
 #: The same rows in DuckDB SQL: digests of all windows, written out in hexadecimal.

@@ -1,75 +1,134 @@
-"""Suffix array in linear time by grouping, without recursive renaming.
+"""Suffix arrays of many texts at once, in linear work by grouping, without recursive renaming.
 
 First phase: suffixes are grouped by their longest Lyndon prefix. Groups are taken from the greatest
 to the smallest; each suffix of a group points to the nearest earlier suffix of a smaller group, and
 the suffixes pointed to move, by how often they are, into new groups right behind their old ones.
 Second phase: the order of each group's suffixes follows from the order already found, through the
 same previous-smaller pointers.
+
+The texts of a batch are handled in step: a step takes the greatest group left (later: the next slot)
+of every text, in array operations over all of them. There are as many steps as the text of most
+groups has groups, so texts of like length belong into one batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import numpy as np
+
+
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), first[1], ..."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + n, n)
+
 
+def _grouped(symbols: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots' suffixes, each suffix's first slot of its group, and sizes of groups by first slot, by first symbol.
 
-def suffix_array(text: Sequence[int]) -> list[int]:
-    """Positions of the suffixes of text in order. The last symbol must be smaller than all others."""
-    n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    slot = [0] * n  # where a suffix stands in order
-    group = [0] * n  # first slot of a suffix's group
-    size = [0] * n  # members of the group that begins at a slot
-    first = 0
-    for i, s in enumerate(order):
-        if text[s] != text[order[first]]:
-            first = i
-        slot[s], group[s] = i, first
-        size[first] += 1
-    pointer = [-1] * n
+    Place 0 of each text is no suffix: it stands before the text and is in a group below all others.
+    """
+    lengths = np.diff(offs)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.lexsort((symbols, text)).astype(np.int32)
+    by = symbols[order].astype(np.int64) + text[order] * (int(symbols.max(initial=0)) + 1)
+    new = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+    n = np.diff(np.concatenate([new, [len(order)]]))
+    group, size = np.empty(len(order), np.int32), np.zeros(len(order), np.int32)
+    group[order] = np.repeat(new, n)
+    size[new] = n
+    return order, group, size
 
-    end = n - 1
-    while end >= 0:
+
+def suffix_arrays(symbols: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Positions of the suffixes of each text symbols[offs[i]:offs[i + 1]] in order, text after text.
+
+    The last symbol of a text must be 1 and smaller than all its others.
+    """
+    lengths = np.diff(offs)
+    count = len(lengths)
+    # a place before each text, of symbol 0
+    starts = offs[:-1] + np.arange(count)
+    padded = np.zeros(len(symbols) + count, symbols.dtype)
+    padded[ranges(starts + 1, lengths)] = symbols
+    order, group, size = _grouped(padded, np.concatenate([starts, [len(padded)]]))
+    slot = np.empty(len(order), np.int32)
+    slot[order] = np.arange(len(order), dtype=np.int32)
+    pointer = np.zeros(len(order), np.int32)
+    moving = np.zeros(len(order), bool)
+    group[starts] = -1
+
+    end = (starts + lengths).astype(np.int32)  # last slot that is not taken yet
+    floor = starts.astype(np.int32)
+    while len(end):
         first = group[order[end]]
-        members = order[first : end + 1]
-        if len(members) > 1:
-            members.sort()
-        times: dict[int, int] = {}
-        for s in members:
-            p = s - 1
-            while p >= 0 and group[p] >= first:
-                p = pointer[p]
-            pointer[s] = p
-            if p >= 0:
-                times[p] = times.get(p, 0) + 1
-        by_times: dict[int, list[int]] = {}
-        for p, k in times.items():
-            by_times.setdefault(k, []).append(p)
-        for k in sorted(by_times, reverse=True):
-            moved: dict[int, int] = {}
-            for p in by_times[k]:
-                g = group[p]
-                size[g] -= 1
-                to = g + size[g]
-                other, at = order[to], slot[p]
-                order[at], slot[other] = other, at
-                order[to], slot[p] = p, to
-                moved[g] = moved.get(g, 0) + 1
-            for p in by_times[k]:
-                group[p] += size[group[p]]
-            for g, count in moved.items():
-                size[g + size[g]] = count
+        own = end - first + 1
+        members = order[ranges(first, own)]
+        limit = np.repeat(first, own)
+        before = members - 1
+        live = np.flatnonzero(group[before] > limit)
+        while len(live):
+            at = pointer[before[live]]
+            before[live] = at
+            live = live[group[at] > limit[live]]
+        pointer[members] = before
+        live = np.flatnonzero(group[before] == limit)
+        while len(live):  # over suffixes of the same group, in doubling steps
+            at = pointer[before[live]]
+            before[live] = at
+            pointer[members[live]] = at
+            live = live[group[at] == limit[live]]
+
+        hit = np.sort(before[group[before] >= 0])
+        if len(hit):
+            new = np.flatnonzero(np.concatenate([[True], hit[1:] != hit[:-1]]))
+            times = np.diff(np.concatenate([new, [len(hit)]]))
+            movers = hit[new]
+            old = group[movers]
+            by = np.lexsort((times, -old.astype(np.int64)))[::-1]  # by group, most often first
+            movers, old, times = movers[by], old[by], times[by]
+            head = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
+            many = np.diff(np.concatenate([head, [len(old)]]))
+            top = old[head] + size[old[head]]  # one beyond the group's last slot
+            target = np.repeat(top + head, many) - 1 - np.arange(len(old))
+            # what stands on the targets and stays goes to the slots that the movers leave
+            was = slot[movers]
+            left = was[was < np.repeat(top - many, many)]
+            moving[movers] = True
+            there = order[target]
+            other = there[~moving[there]]
+            moving[movers] = False
+            order[left], slot[other] = other, left
+            order[target], slot[movers] = movers, target
+            # a new group for each number of times
+            size[old[head]] -= many.astype(np.int32)
+            cut = np.flatnonzero(np.concatenate([(old[1:] != old[:-1]) | (times[1:] != times[:-1]), [True]]))
+            n = np.diff(np.concatenate([[-1], cut]))
+            size[target[cut]] = n
+            group[movers] = np.repeat(target[cut], n)
         end = first - 1
+        live = end > floor
+        if not live.all():
+            end, floor = end[live], floor[live]
 
-    result, following = [-1] * n, list(range(n))  # next free place of the group that begins at a slot
-    placed = [False] * n
-    result[0] = n - 1
-    placed[n - 1] = True
-    for i in range(n):
-        s = result[i] - 1
-        while s >= 0 and not placed[s]:
+    result, free = np.full(len(order), -1, np.int32), np.arange(len(order), dtype=np.int32)
+    placed = np.zeros(len(order), bool)
+    placed[starts] = True
+    result[starts + 1] = starts + lengths  # the last suffix is the least
+    placed[starts + lengths] = True
+    text = np.argsort(-lengths, kind="stable")
+    begin, longest = starts[text], lengths[text]
+    for i in range(1, int(lengths.max(initial=0)) + 1):
+        some = np.searchsorted(-longest, -i, "right")  # texts with an i-th slot
+        s = result[begin[:some] + i] - 1
+        s = s[~placed[s]]
+        while len(s):
             g = group[s]
-            result[following[g]] = s
-            following[g] += 1
+            to = free[g]
+            result[to] = s
+            free[g] = to + 1
             placed[s] = True
             s = pointer[s]
-    return result
+            s = s[~placed[s]]
+    kept = np.ones(len(result), bool)
+    kept[starts] = False
+    return result[kept] - np.repeat(starts + 1, lengths)

@@ -25,7 +25,6 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import U64, MappedTable, mapped_folder, parts_for, text_blocks
 
@@ -172,7 +171,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     source = docs.select("doc_id", "text")
     parts = parts_for(source, 1.0)
     table = MappedTable(mapped_folder(spark, "pieces"), parts, ("u4",))
-    source.select("text").mapInArrow(_distinct_pieces(path, parts), "part int, pieces array<string>").groupBy("part").applyInArrow(_encode_once(path, table), "part int, pieces long").agg(F.sum("pieces")).collect()
+    table.seal(source.select("text").mapInArrow(_distinct_pieces(path, parts), "part int, pieces array<string>").groupBy("part").applyInArrow(_encode_once(path, table), "part int, pieces long"))
 
     def run(batches):
         cut, known = Cutter(path), {}
