@@ -7,9 +7,11 @@ bytes are its context, and the piece that all its windows share is its key.
 
 1. One pass counts keys and contexts, by hash and pre-aggregated per task. What meets another stands as
    sorted hash arrays in the shared folder, with two occurrences to speak for each distinct context.
-2. The second pass sends the bytes of these two to the suffix arrays, key by key. The contexts of some
-   keys make one text, whose suffix array is built by linear grouping (`suffix_groups`); a window is
-   repeated exactly if a neighbour in it begins with the same LENGTH bytes, which are compared as bytes.
+2. The second pass sends the bytes of these two to the suffix arrays. Contexts that share a key but not
+   all bytes meet by their key; where a key has one context only, neighbouring units for which the same
+   two rows speak make one stretch and meet by that pair of rows. What meets makes one text, whose suffix
+   array is built by linear grouping (`suffix_groups`); a window is repeated exactly if a neighbour in it
+   begins with the same LENGTH bytes, which are compared as bytes.
 3. The third pass looks every unit up among the contexts with repeated windows, by 128 bits of hash.
 
 A key of more than KEY_CONTEXTS distinct contexts (a line that very many texts share) is never compared
@@ -50,8 +52,9 @@ from .suffix_groups import ranges, suffix_arrays
 
 LENGTH, GRAM = 400, 128
 GRAMS = LENGTH - GRAM + 1  # pieces in a window
-KEY_CONTEXTS = 64  # distinct contexts of one key that are compared at once
-BATCH = 1 << 21  # symbols whose suffix arrays are built at once
+KEY_CONTEXTS = 16  # distinct contexts of one key that are compared at once
+PAIR_BYTES = 1 << 15  # two rows of at most so many bytes are compared by stretches
+BATCH, BATCH_TEXTS = (1 << 19, 1 << 21), 250  # symbols, at least and at most, and texts whose suffix arrays are built at once
 FLUSH = 400_000
 SPLIT = 0xFFFF  # stands for the windows of a context whose unit was split
 _LOW = U64((1 << 24) - 1)
@@ -124,10 +127,10 @@ def checks(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _owner(rows: pa.RecordBatch, u: Units, offs: np.ndarray) -> np.ndarray:
-    """A number for each occurrence of a unit."""
-    ids = np.asarray(rows.column("row_key")).view(U64)[u.row]
-    with np.errstate(over="ignore"):
-        return mix(ids + (u.lo - offs[u.row]).astype(U64) * U64(0xA24BAED4963EE407))
+    """A number for each occurrence of a unit: 40 bits of the row's hash, whether the row is long, the place in it."""
+    ids = mix(np.asarray(rows.column("row_key")).view(U64))[u.row] & ~_LOW
+    long = (np.diff(offs) > PAIR_BYTES)[u.row].astype(U64) << U64(23)
+    return ids | long | ((u.lo - offs[u.row]).astype(U64) & U64((1 << 23) - 1))
 
 
 def _distinct(key, context, n, least, most) -> tuple[np.ndarray, ...]:
@@ -167,7 +170,10 @@ def _count(parts: int):
 
 
 def _candidates(table: MappedTable):
-    """Stores contexts that stand more than once or meet another of their key: context, key is hot, speakers."""
+    """Stores contexts that stand more than once or meet another of their key: context, flags, speakers.
+
+    Flags: copies, 4 for a key of too many contexts, 8 for units that meet by their pair of rows.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         def joined(name, kind):
@@ -181,34 +187,61 @@ def _candidates(table: MappedTable):
         keep = np.flatnonzero((kinds > 1) | (n > 1))
         keep = keep[np.argsort(context[keep])]
         copies = np.where((n > 1) & (least == most), 2, 1)  # all in equal rows, at the same place
-        flags = copies[keep] + 4 * (kinds[keep] > KEY_CONTEXTS)
+        short = ((least | most) & U64(1 << 23)) == 0
+        flags = copies[keep] + 4 * (kinds[keep] > KEY_CONTEXTS) + 8 * ((kinds == 1) & (copies == 1) & short)[keep]
         table.write(part, context[keep], flags, least[keep], most[keep])
         return pa.Table.from_arrays([pa.array([part], pa.int32()), pa.array([len(keep)], pa.int64())], ["part", "n"])
 
     return run
 
 
-_CONTEXT = "key long, context long, check long, near int, far int, left int, copies int, hot boolean, bytes binary"
+#: A stretch of bytes and its units: contexts, checks, first and last windows as arrays. Near, far and left
+#: (bytes before the anchor) are those of a single unit.
+_STRETCH = "key long, contexts binary, checks binary, first binary, last binary, near int, far int, left int, copies int, hot boolean, bytes binary"
+_NAMES = [f.split()[0] for f in _STRETCH.split(", ")]
 
 
-def _rows_of(u: Units, some: np.ndarray, data: np.ndarray, copies: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
-    lo, hi = u.lo[some], u.hi[some]
-    raw = [data[a : b + LENGTH].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-    columns = [u.key[some].view(np.int64), u.context[some].view(np.int64), checks(data, lo, hi).view(np.int64), *(x.astype(np.int32) for x in (u.near[some], u.far[some], u.anchor[some] - lo, copies)), hot]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(raw, pa.binary())], [f.split()[0] for f in _CONTEXT.split(", ")])
+def _rows_of(u: Units, heads: np.ndarray, sizes: np.ndarray, key: np.ndarray, data: np.ndarray, copies: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    """Stretches of the units heads, heads + 1, ... (sizes of them)."""
+    lo, end = u.lo[heads], u.hi[heads + sizes - 1] + LENGTH
+    some = ranges(heads, sizes)
+    check = checks(data, u.lo[some], u.hi[some])
+    base = np.repeat(lo, sizes)
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+
+    def packed(values: np.ndarray) -> pa.Array:
+        raw, n = values.tobytes(), values.itemsize
+        return pa.array([raw[n * a : n * b] for a, b in pairwise(cuts.tolist())], pa.binary())
+
+    columns = [pa.array(key.view(np.int64)), packed(u.context[some]), packed(check), packed((u.lo[some] - base).astype(np.int32)), packed((u.hi[some] - base).astype(np.int32))]
+    columns += [pa.array(x.astype(np.int32)) for x in (u.near[heads], u.far[heads], u.anchor[heads] - lo, copies)]
+    raw = [data[a:b].tobytes() for a, b in zip(lo.tolist(), end.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(hot), pa.array(raw, pa.binary())], _NAMES)
 
 
 def _speakers(table: MappedTable):
     """The bytes of two occurrences of each candidate."""
 
     def run(batches):
+        sent: set[int] = set()  # rows that are equal to earlier ones of the task have nothing to add
         for rows, data, offs in text_blocks(batches):
             u, _ = units(data, offs)
             found, flags, least, most = table.lookup(u.context, deal=u.key)
             owner = _owner(rows, u, offs)
             at = np.flatnonzero(found & ((owner == least) | (owner == most)))
-            for some in np.array_split(at, len(at) // 10_000 + 1):
-                yield _rows_of(u, some, data, flags[some] & 3, flags[some] >= 4)
+            own = owner[at].tolist()
+            at = at[np.array([x not in sent for x in own], bool)]
+            sent.update(own)
+            paired = flags[at] >= 8
+            with np.errstate(over="ignore"):
+                key = np.where(paired, mix((least[at] >> U64(24)) * U64(0x9E3779B97F4A7C15) + (most[at] >> U64(24))), u.key[at])
+            same = np.zeros(len(at), bool)  # goes on with the stretch of the unit before
+            same[1:] = paired[1:] & paired[:-1] & (key[1:] == key[:-1]) & (at[1:] == at[:-1] + 1) & (u.lo[at[1:]] == u.hi[at[:-1]] + 1)
+            head = np.flatnonzero(~same)
+            size = np.diff(np.concatenate([head, [len(at)]]))
+            for some in np.array_split(np.arange(len(head)), len(head) // 5000 + 1):
+                h = head[some]
+                yield _rows_of(u, at[h], size[some], key[h], data, flags[at[h]] & 3, (flags[at[h]] & 4) > 0)
 
     return run
 
@@ -223,21 +256,24 @@ def _halves(batches):
             lo, hi, prefix = offs[:-1], offs[1:] - LENGTH, prefix_hash(data)
             whole = Units(prefix, np.arange(len(rows)), lo + left, lo, hi, near, far)
             u = whole.halves(prefix, np.arange(len(rows)))
-            yield _rows_of(u, np.arange(len(u)), data, copies[u.row], np.zeros(len(u), bool))
+            yield _rows_of(u, np.arange(len(u)), np.ones(len(u), np.int64), u.key, data, copies[u.row], np.zeros(len(u), bool))
+
+
+def once(stretches: DataFrame) -> DataFrame:
+    """One row for equal units of a key, with at most two copies."""
+    same = [n for n in _NAMES if n not in ("copies", "hot", "bytes")]
+    return stretches.groupBy(same).agg(F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"), F.first("hot").alias("hot"), F.first("bytes").alias("bytes")).select(_NAMES)
 
 
 def split_hot(rows: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Contexts to compare, and contexts that were split, from those of the second pass."""
-    cold, split = [rows.filter(~F.col("hot"))], []
+    """Stretches to compare, and contexts that were split, from those of the second pass."""
+    cold, split = [rows.filter("NOT hot AND copies = 1"), once(rows.filter("NOT hot AND copies = 2"))], []
     hot = rows.filter("hot")
     while not hot.isEmpty():  # at most log2(GRAMS) + 1 rounds
-        split.append(hot.select("context", "check").distinct())
-        halves = hot.mapInArrow(_halves, _CONTEXT)
-        same = ["key", "context", "check", "near", "far", "left"]
-        halves = written(halves.groupBy(same).agg(F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"), F.first("bytes").alias("bytes")), "halves")
+        split.append(hot.select("contexts", "checks").distinct())
+        halves = written(once(hot.mapInArrow(_halves, _STRETCH)), "halves")
         kinds = halves.groupBy("key").agg(F.count("*").alias("kinds"), F.max("copies").alias("most")).filter("kinds > 1 OR most > 1")
-        halves = halves.join(kinds, "key").withColumn("hot", F.col("kinds") > KEY_CONTEXTS)
-        halves = written(halves.select([f.split()[0] for f in _CONTEXT.split(", ")]), "halves")
+        halves = written(halves.join(kinds, "key").withColumn("hot", F.col("kinds") > KEY_CONTEXTS).select(_NAMES), "halves")
         cold.append(halves.filter(~F.col("hot")))
         hot = halves.filter("hot")
     return cold, split
@@ -267,26 +303,36 @@ def equal_windows(flat: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return equal
 
 
+def batches_of(sizes: np.ndarray) -> list[np.ndarray]:
+    """Texts of like size by batch."""
+    out, own, symbols = [], [], 0
+    for i in np.argsort(sizes, kind="stable").tolist():
+        own.append(i)
+        symbols += int(sizes[i])
+        if symbols >= BATCH[1] or (symbols >= BATCH[0] and len(own) >= BATCH_TEXTS):
+            out.append(np.array(own))
+            own, symbols = [], 0
+    return [*out, np.array(own)] if own else out
+
+
 def repeated_windows(keys: np.ndarray, raw: list[bytes], copies: np.ndarray) -> list[np.ndarray]:
-    """For contexts of sorted keys: which windows of each stand elsewhere in the contexts of its key.
+    """For stretches of sorted keys: which windows of each stand elsewhere in the stretches of its key.
 
-    A context of two copies counts as standing twice.
+    A stretch of two copies counts as standing twice.
     """
     edges = np.concatenate([runs(keys), [len(keys)]])
     entry = np.repeat(np.arange(len(raw)), copies)
-    symbols = np.array([len(x) for x in raw])[entry] + 1
+    symbols = np.array([len(x) for x in raw], np.int64)[entry] + 1
     total = np.concatenate([[0], np.cumsum(symbols)])
     cuts = np.searchsorted(entry, edges)  # entries of each key
     sizes = total[cuts[1:]] - total[cuts[:-1]]
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(raw)
-    by_size = np.argsort(sizes, kind="stable")
-    batch = np.cumsum(sizes[by_size]) // BATCH
-    for texts in np.split(by_size, np.flatnonzero(np.diff(batch)) + 1):
+    for texts in batches_of(sizes):
         own = entry[ranges(cuts[texts], cuts[texts + 1] - cuts[texts])]
         lengths = np.array([len(raw[i]) for i in own])
         flat = np.frombuffer(b"\0".join([*(raw[i] for i in own.tolist()), b""]), np.uint8).astype(np.uint16) + 3
         ends = np.cumsum(lengths + 1)
-        flat[ends - 1] = 2  # between contexts
+        flat[ends - 1] = 2  # between stretches
         offs = np.concatenate([[0], np.cumsum(sizes[texts])])
         flat[offs[1:] - 1] = 1  # the end of a text
         order = suffix_arrays(flat, offs) + np.repeat(offs[:-1], np.diff(offs))
@@ -302,32 +348,41 @@ def repeated_windows(keys: np.ndarray, raw: list[bytes], copies: np.ndarray) ->
         repeated = np.zeros(len(flat), bool)
         repeated[p[equal]] = repeated[q[equal]] = True
         for i, end, n in zip(own.tolist(), ends.tolist(), lengths.tolist(), strict=True):
-            out[i] = repeated[end - 1 - n : end - LENGTH]  # copies of a context have equal results
+            out[i] = repeated[end - 1 - n : end - LENGTH]  # copies have equal results
     return out
 
 
 def _compare(rows: pa.Table) -> pa.Table:
     """context, check, first, last of the runs of repeated windows, counted from the context's first."""
-    key = rows.column("key").to_numpy()
-    order = np.lexsort((rows.column("check").to_numpy(), rows.column("context").to_numpy(), key))
-    rows, key = rows.take(pa.array(order)), key[order]
-    context, check = rows.column("context").to_numpy(), rows.column("check").to_numpy()
-    # equal contexts become one of two copies, however many times rows that are equal sent them
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1]) | (check[1:] != check[:-1])])) if len(key) else np.zeros(0, np.int64)
-    copies = np.minimum(np.add.reduceat(rows.column("copies").to_numpy().astype(np.int64), new), 2) if len(new) else new
-    raw = rows.column("bytes").take(pa.array(new)).to_pylist()
-    out: list[tuple] = []
-    for i, windows in zip(new.tolist(), repeated_windows(key[new], raw, copies), strict=True):
-        if windows.any():
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], windows.astype(np.int8), [0]])))
-            out += [(context[i], check[i], a, b - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-    columns = list(zip(*out, strict=True)) or [[], [], [], []]
-    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["context", "check", "first", "last"])
+    order = np.argsort(rows.column("key").to_numpy(), kind="stable")
+    rows = rows.take(pa.array(order))
+    key, copies = rows.column("key").to_numpy(), rows.column("copies").to_numpy().astype(np.int64)
+    found = repeated_windows(key, rows.column("bytes").to_pylist(), copies)
+    parts: list[tuple[np.ndarray, ...]] = []
+    for windows, *arrays in zip(found, *(rows.column(c).to_pylist() for c in _NAMES[1:5]), strict=True):
+        if not windows.any():
+            continue
+        context, check, first, last = (np.frombuffer(x, kind) for x, kind in zip(arrays, (np.int64, np.int64, np.int32, np.int32), strict=True))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], windows.astype(np.int8), [0]])))
+        a, b = edge[::2], edge[1::2] - 1
+        # units that each run meets
+        i, j = np.searchsorted(last, a), np.searchsorted(first, b, "right")
+        unit, run = ranges(i, j - i), np.repeat(np.arange(len(a)), j - i)
+        parts.append((context[unit], check[unit], np.maximum(a[run], first[unit]) - first[unit], np.minimum(b[run], last[unit]) - first[unit]))
+    columns = [np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)] or [np.zeros(0, np.int64)] * 4
+    return pa.Table.from_arrays([pa.array(c) for c in columns], ["context", "check", "first", "last"])
 
 
 # ---------------------------------------------------------------- results
 
 
+def _split(batches):
+    for batch in batches:
+        own = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in ("contexts", "checks"))
+        mark = pa.array(np.full(len(batch), SPLIT, np.int64))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, own), mark, mark], ["context", "check", "first", "last"])
+
+
 def _run_key(context: np.ndarray, check: np.ndarray, k: np.ndarray | int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(context + mix(check + np.asarray(k).astype(U64) * U64(0x8CB92BA72F3D8DD7)))
@@ -355,14 +410,14 @@ def repeated_contexts(docs: DataFrame) -> MappedTable:
     counted = source.mapInArrow(_count(parts), "part int, key binary, context binary, n binary, least binary, most binary")
     table.seal(counted.groupBy("part").applyInArrow(_candidates(table), "part int, n long"))
 
-    cold, split = split_hot(written(source.mapInArrow(_speakers(table), _CONTEXT), "contexts"))
+    cold, split = split_hot(written(source.mapInArrow(_speakers(table), _STRETCH), "contexts"))
     contexts = cold[0]
     for more in cold[1:]:
         contexts = contexts.union(more)
     tasks = int(contexts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // (8 << 20) + 8
     compared = contexts.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task")).applyInArrow(_compare, "context long, check long, first long, last long")
     for more in split:
-        compared = compared.union(more.select("context", "check", F.lit(SPLIT).cast("long"), F.lit(SPLIT).cast("long")))
+        compared = compared.union(more.mapInArrow(_split, "context long, check long, first long, last long"))
     by_context = compared.groupBy("context", "check").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # of one context
 
     parts = max(8, parts // 8)

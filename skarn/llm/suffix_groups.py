@@ -29,11 +29,12 @@ def _grouped(symbols: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     """
     lengths = np.diff(offs)
     text = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.lexsort((symbols, text)).astype(np.int32)
-    by = symbols[order].astype(np.int64) + text[order] * (int(symbols.max(initial=0)) + 1)
+    by = text * (int(symbols.max(initial=0)) + 1) + symbols
+    order = np.argsort(by, kind="stable")
+    by = by[order]
     new = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
     n = np.diff(np.concatenate([new, [len(order)]]))
-    group, size = np.empty(len(order), np.int32), np.zeros(len(order), np.int32)
+    group, size = np.empty(len(order), np.int64), np.zeros(len(order), np.int64)
     group[order] = np.repeat(new, n)
     size[new] = n
     return order, group, size
@@ -51,14 +52,14 @@ def suffix_arrays(symbols: np.ndarray, offs: np.ndarray) -> np.ndarray:
     padded = np.zeros(len(symbols) + count, symbols.dtype)
     padded[ranges(starts + 1, lengths)] = symbols
     order, group, size = _grouped(padded, np.concatenate([starts, [len(padded)]]))
-    slot = np.empty(len(order), np.int32)
-    slot[order] = np.arange(len(order), dtype=np.int32)
-    pointer = np.zeros(len(order), np.int32)
+    slot = np.empty(len(order), np.int64)
+    slot[order] = np.arange(len(order))
+    pointer = np.zeros(len(order), np.int64)
     moving = np.zeros(len(order), bool)
     group[starts] = -1
 
-    end = (starts + lengths).astype(np.int32)  # last slot that is not taken yet
-    floor = starts.astype(np.int32)
+    end = starts + lengths  # last slot that is not taken yet
+    floor = starts
     while len(end):
         first = group[order[end]]
         own = end - first + 1
@@ -84,7 +85,7 @@ def suffix_arrays(symbols: np.ndarray, offs: np.ndarray) -> np.ndarray:
             times = np.diff(np.concatenate([new, [len(hit)]]))
             movers = hit[new]
             old = group[movers]
-            by = np.lexsort((times, -old.astype(np.int64)))[::-1]  # by group, most often first
+            by = np.argsort(old * (len(before) + 1) - times)  # by group, most often first
             movers, old, times = movers[by], old[by], times[by]
             head = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
             many = np.diff(np.concatenate([head, [len(old)]]))
@@ -100,7 +101,7 @@ def suffix_arrays(symbols: np.ndarray, offs: np.ndarray) -> np.ndarray:
             order[left], slot[other] = other, left
             order[target], slot[movers] = movers, target
             # a new group for each number of times
-            size[old[head]] -= many.astype(np.int32)
+            size[old[head]] -= many
             cut = np.flatnonzero(np.concatenate([(old[1:] != old[:-1]) | (times[1:] != times[:-1]), [True]]))
             n = np.diff(np.concatenate([[-1], cut]))
             size[target[cut]] = n
@@ -110,7 +111,7 @@ def suffix_arrays(symbols: np.ndarray, offs: np.ndarray) -> np.ndarray:
         if not live.all():
             end, floor = end[live], floor[live]
 
-    result, free = np.full(len(order), -1, np.int32), np.arange(len(order), dtype=np.int32)
+    result, free = np.full(len(order), -1, np.int64), np.arange(len(order))
     placed = np.zeros(len(order), bool)
     placed[starts] = True
     result[starts + 1] = starts + lengths  # the last suffix is the least
