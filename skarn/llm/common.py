@@ -154,7 +154,9 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, U64)
     with np.errstate(over="ignore"):
-        np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=out[1:])
+        value = np.take(BYTE_VALUES, data)
+        value *= up[: len(data)]
+        np.cumsum(value, out=out[1:])
     return out
 
 

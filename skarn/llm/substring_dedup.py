@@ -42,6 +42,7 @@ from .common import (
     mix,
     part_of,
     parts_for,
+    powers,
     prefix_hash,
     range_hash,
     text_blocks,
@@ -91,8 +92,10 @@ def units(data: np.ndarray, offs: np.ndarray) -> tuple[Units, np.ndarray]:
     none = np.zeros(0, np.int64)
     if n < LENGTH or np.diff(offs).max() < LENGTH:
         return Units(prefix, none, none, none, none, none, none), prefix
-    at = np.arange(n - GRAM + 1)
-    order = (range_hash(prefix, at, at + GRAM) & ~_LOW) | (at.astype(U64) & _LOW)  # ties go to the first
+    with np.errstate(over="ignore"):
+        order = (prefix[GRAM:] - prefix[:-GRAM]) * powers(n)[1][: n - GRAM + 1]  # the pieces' polynomial hashes
+    order &= ~_LOW
+    order |= np.arange(len(order), dtype=U64) & _LOW  # ties go to the first
     padded = np.full(-(-len(order) // GRAMS) * GRAMS, ~U64(0))
     padded[: len(order)] = order
     tiles = padded.reshape(-1, GRAMS)
@@ -100,8 +103,8 @@ def units(data: np.ndarray, offs: np.ndarray) -> tuple[Units, np.ndarray]:
     backward = np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].ravel()
     windows = n - LENGTH + 1
     least = np.minimum(backward[:windows], forward[GRAMS - 1 : GRAMS - 1 + windows])
-    start = np.arange(windows)
-    anchor = start + ((least - start.astype(U64)) & _LOW).astype(np.int64)
+    start = np.arange(windows, dtype=U64)
+    anchor = (start + ((least - start) & _LOW)).view(np.int64)
     long = np.flatnonzero(np.diff(offs) >= LENGTH)
     valid = np.zeros(windows + 1, np.int8)
     valid[offs[long]] += 1
