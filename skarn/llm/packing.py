@@ -1,15 +1,24 @@
 """Packing of documents into sequences of a fixed number of tokens, by a configuration LP.
 
-A configuration says how many pieces of each length one sequence holds. The covering LP over
-configurations (fewest sequences that hold the length histogram) is solved by multiplicative
-weights: a length that has been covered less weighs more, and the pricing problem, the configuration
-of greatest weight, is a knapsack solved by dynamic programming. The solution is rounded down to
-whole sequences, and what is left is placed by best fit. Only the histogram (one row a length) reaches the driver, and the plan that returns is bounded
-by the number of LP steps; pieces find their place by their rank among pieces of their length.
+A configuration says how many pieces of each length one sequence holds. The LP over configurations
+covers the length histogram by as few sequences as can be. It is solved by multiplicative weights in
+ROUNDS steps, after each of which an even share more of every length should be covered: a length that
+lags weighs exponentially more, and the pricing problem, the configuration of greatest weight, is a
+bounded knapsack solved by dynamic programming. One table of it prices the best configuration with
+each length in it, so a step uses one for every length that lags. The fractional solution is rounded
+to whole sequences, the fraction of one configuration carrying over to the next, and the LP is solved
+again for the pieces that rounding left, until few are left; these are placed by best fit. Of the
+numbers of times that the LP may be solved, none included, that of the fewest sequences is taken, so
+there are never more sequences than by best fit alone.
+
+Only the histogram (one row a length) reaches the driver, and the plan that returns is bounded by the
+number of LP steps and lengths, whatever the input; pieces find their place by their rank among pieces
+of their length.
 
 A document is its ids and the end id. One longer than the capacity is cut into full pieces; what is
-over comes first, as a shorter first piece. Null and empty texts are the end id alone. Repeated rows
-are packed each. An empty table gives no rows. Only doc_id and text are read.
+over comes first, as a shorter first piece. A text of any length is handled whole, in one task. Null and
+empty texts are the end id alone. Null ids are packed like others. Repeated rows are packed each. An
+empty table gives no rows. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,7 +36,10 @@ from .common import text_blocks, written
 from .tokens import Cutter, piece_ids
 
 END_ID = 2
-LP_STEPS, SHARE = 2, 0.25  # steps a length, share of a length covered by a step
+ROUNDS, RATE = 160, 3.0  # steps of the LP; growth of the weight of a length by what it lags, as its logarithm
+FEE = 0.2  # taken from a piece's weight, as a share of the mean length: short pieces are kept to fill gaps
+SOLVE, FEW = 8, 0.02  # LPs at most; the last is the one that places less than so large a share
+ENOUGH = 0.8  # share of the pieces from which on configurations must be full
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
@@ -65,50 +77,65 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 1024, with_ids: bool
 # ---------------------------------------------------------------- the plan
 
 
-def best_configuration(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
-    """Pricing: the multiset of lengths within capacity of the greatest worth (unbounded knapsack)."""
-    value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
-        value[room] = value[room - 1]
-        k = upto[room]
-        if k:
-            got = value[room - lengths[:k]] + worth[:k]
-            i = int(np.argmax(got))
-            if got[i] > value[room]:
-                value[room], choice[room] = got[i], i
-    found: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if (i := choice[room]) < 0:
-            room -= 1
-            continue
-        found[int(i)] = found.get(int(i), 0) + 1
-        room -= int(lengths[i])
-    return found
-
-
-def solve_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often to use each: a near-optimal fractional cover of counts.
-
-    Each step prices one configuration and uses it until SHARE of its scarcest length is covered;
-    the weight of a length falls exponentially with the share of it that is covered.
+class Pricing:
+    """The configurations of greatest worth, within every room, that hold at most `most` pieces of each length."""
+
+    def __init__(self, lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, capacity: int):
+        self.items: list[tuple[int, int, int]] = []  # length number, pieces, size: bundles of 1, 2, 4, ... pieces
+        value, gains = np.zeros(capacity + 1), []
+        for i, (length, w, n) in enumerate(zip(lengths.tolist(), worth.tolist(), np.minimum(most, capacity // lengths).tolist(), strict=True)):
+            bundle = 1
+            while n > 0 and w > 0:
+                bundle = min(bundle, n)
+                self.items.append((i, bundle, bundle * length))
+                gains.append(bundle * w)
+                n -= bundle
+                bundle *= 2
+        self.last = np.full((len(self.items) + 1, capacity + 1), -1, np.int32)  # last bundle taken, of the first ones
+        for j, ((_, _, size), gain) in enumerate(zip(self.items, gains, strict=True)):
+            got = value[:-size] + gain
+            better = got > value[size:]
+            np.copyto(value[size:], got, where=better)
+            self.last[j + 1] = self.last[j]
+            self.last[j + 1, size:][better] = j
+
+    def best(self, room: int) -> tuple[dict[int, int], int]:
+        """Pieces by length number, and the room they leave."""
+        config: dict[int, int] = {}
+        j = len(self.items)
+        while (j := int(self.last[j, room])) >= 0:
+            i, n, size = self.items[j]
+            config[i] = config.get(i, 0) + n
+            room -= size
+        return config, room
+
+
+def solve_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, waste: int = 0) -> list[tuple[dict[int, int], float]]:
+    """Configurations that leave at most waste, and how often to use each: a fractional cover of counts.
+
+    Lengths come in descending order, long ones first in every step. What no such configuration can
+    cover stays uncovered.
     """
-    covered = np.zeros(len(lengths))
-    rate = 4.0 * np.log(len(lengths) + 1.0)
-    used: dict[tuple, float] = {}
-    for _ in range(LP_STEPS * len(lengths) + 100):
-        config = best_configuration(lengths, lengths * np.exp(-rate * covered), capacity)
-        config = {i: min(n, int(counts[i])) for i, n in config.items()}
-        times = min(SHARE * counts[i] / n for i, n in config.items())
-        for i, n in config.items():
-            covered[i] += times * n / counts[i]
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + times
-        if covered.min() >= 1:
-            break
-    scale = max(1.0, float(covered.max()))  # what is left over is then of the same mix as the whole
-    return [(dict(k), x / scale) for k, x in used.items()]
+    n, covered = counts.astype(float), np.zeros(len(lengths))
+    used: list[tuple[dict[int, int], float]] = []
+    for step in range(1, ROUNDS + 1):
+        target, beyond = step / ROUNDS, (step + 1) / ROUNDS
+        worth = lengths * np.exp(RATE * (target - covered)) - FEE * lengths.mean()
+        lag = (target - covered) * n
+        table = Pricing(lengths, worth, np.where(lag > 1e-9, np.maximum(1, lag), 0).astype(int), capacity)
+        for i in range(len(lengths)):
+            for _ in range(3):
+                if covered[i] >= target - 1e-9:
+                    break
+                config, left = table.best(capacity - int(lengths[i]))
+                config[i] = config.get(i, 0) + 1
+                times = min((target - covered[i]) * n[i] / config[i], *((beyond - covered[k]) * n[k] / m for k, m in config.items()))
+                if left > waste or times < 1e-3:
+                    break
+                for k, m in config.items():
+                    covered[k] = min(1.0, covered[k] + times * m / n[k])
+                used.append((config, times))
+    return used
 
 
 @dataclass
@@ -117,29 +144,50 @@ class Plan:
 
     slots: dict[int, np.ndarray]
     sequences: int
+    by_lp: int  # pieces below the capacity that configurations of the LP placed
+
+
+def configurations(left: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Sequences (length -> pieces, how many such sequences) for pieces by length, and pieces that the LP placed."""
+    pieces = int(left.sum())
+    bins: list[tuple[dict[int, int], int]] = []
+    found: tuple | None = None
+    waste = 0
+    for solved in range(SOLVE + 1):
+        rest = best_fit(left.copy(), capacity)
+        n = sum(times for _, times in bins) + sum(times for _, times in rest)
+        placed = pieces - int(left.sum())
+        if found is None or n <= found[0]:
+            found = n, [*bins, *rest], placed
+        lengths = np.flatnonzero(left)[::-1]
+        if solved == SOLVE or not len(lengths):
+            break
+        before, carry = placed, 0.5
+        for config, x in solve_lp(lengths, left[lengths], capacity, waste):
+            times = min(int(x + carry), *(int(left[lengths[i]]) // m for i, m in config.items()))
+            carry = min(x + carry - times, 1.0)
+            if times > 0:
+                bins.append(({int(lengths[i]): m for i, m in config.items()}, times))
+                for i, m in config.items():
+                    left[lengths[i]] -= times * m
+        placed = pieces - int(left.sum())
+        if placed - before < FEW * pieces:
+            if placed >= ENOUGH * pieces:
+                break
+            waste = 2 * waste + 1  # full configurations do not suffice
+    return found[1], found[2]
 
 
 def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    bins: list[tuple[dict[int, int], int]] = []  # length -> pieces in a sequence, sequences
+    bins: list[tuple[dict[int, int], int]] = []
     if left[capacity]:
         bins.append(({capacity: 1}, int(left[capacity])))
         left[capacity] = 0
-    lengths = np.flatnonzero(left)
-    if len(lengths):
-        solution = solve_lp(lengths, left[lengths].astype(float), capacity)
-        solution.sort(key=lambda c: (-sum(int(lengths[i]) * n for i, n in c[0].items()), sorted(c[0].items())))
-        for config, x in solution:
-            if sum(int(lengths[i]) * n for i, n in config.items()) <= capacity - int(lengths[0]):
-                continue  # not full: best fit does no worse
-            times = min(int(x), *(int(left[lengths[i]]) // n for i, n in config.items()))
-            if times > 0:
-                bins.append(({int(lengths[i]): n for i, n in config.items()}, times))
-                for i, n in config.items():
-                    left[lengths[i]] -= times * n
-    bins += best_fit(left, capacity)
+    rest, by_lp = configurations(left, capacity)
+    bins += rest
     slots: dict[int, list] = {}
     filled, base = np.zeros(capacity + 1, np.int64), 0
     for config, times in bins:
@@ -150,7 +198,7 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
             filled[length] += times * n
             offset += n * length
         base += times
-    return Plan({k: np.array(v, np.int64) for k, v in slots.items()}, base)
+    return Plan({k: np.array(v, np.int64) for k, v in slots.items()}, base, by_lp)
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:

@@ -5,7 +5,8 @@ A byte-level BPE never merges across pre-tokens, so a text's tokens are those of
 hash arrays in the shared folder, and joins each document's pre-token frequencies to them by mapped
 lookups; ids of documents never exist and texts are never shuffled.
 
-Null and empty texts have no tokens. Repeated rows are counted each. An empty table gives no rows.
+Null and empty texts have no tokens. A text of any length is cut whole. Null ids are kept; repeated rows are
+counted each. An empty table gives no rows.
 Only the id and the text are read, so other columns cannot clash. Special strings inside texts are
 what the library makes of them by default (one special token).
 """

@@ -68,10 +68,60 @@ def test_plan_is_exact_and_tight():
     assert plan.sequences <= 1.01 * -(-lengths.sum() // 256) + 1
 
 
+    assert plan.by_lp >= 0.8 * len(lengths)
+    assert plan.sequences == -(-lengths.sum() // 256)
+
+
+def fewest(pieces, capacity):
+    """Sequences of an optimal packing, by trying every place for every piece."""
+    best = [len(pieces)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(pieces):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= pieces[k]}:
+            at = rooms.index(room)
+            place(k + 1, [*rooms[:at], room - pieces[k], *rooms[at + 1 :]])
+        place(k + 1, [*rooms, capacity - pieces[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_plan_against_the_optimum():
+    rng = np.random.default_rng(4)
+    over = 0
+    for _ in range(120):
+        capacity = int(rng.integers(5, 20))
+        pieces = sorted(rng.integers(1, capacity + 1, int(rng.integers(1, 9))).tolist(), reverse=True)
+        left = np.bincount(pieces, minlength=capacity + 1)
+        by_best_fit = sum(n for _, n in packing.best_fit(left.copy(), capacity))
+        plan = packing.make_plan(dict(zip(*(x.tolist() for x in np.unique(pieces, return_counts=True)), strict=True)), capacity)
+        optimum = fewest(pieces, capacity)
+        assert optimum <= plan.sequences <= by_best_fit
+        over += plan.sequences > optimum
+    assert over <= 3
+
+
+def test_long_texts_null_ids_and_repeated_rows(spark, library):
+    long = "some words 12 é\n" * 80_000  # above a block of text
+    rows = [(1, long), (1, long), (None, "a b c"), (None, None), (2, "x" * 1_200_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
+    got = tokens.count_tokens(table, tokenizer_path()).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), n) for (i, _), n in zip(rows, want, strict=True))
+    packed = packing.pack(table, tokenizer_path()).collect()
+    assert sum(r.length for r in packed) == sum(want) + len(rows)
+    assert sum(r.length for r in packed if r.doc_id is None) == want[2] + want[3] + 2
+
+
 def test_pieces_equal_the_library(library):
     """Every code point, in several surroundings."""
     cut, ids = tokens.Cutter(tokenizer_path()), tokens.piece_ids(tokenizer_path())
-    chars = [chr(c) for c in range(1, 0x30000, 7) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(1, 0x400)]
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
     texts = [f"a{c}b {c}1{c}{c}'x {c}" for c in chars]
     for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(b"".join(map(ids.__getitem__, cut(text))), "<u4").tolist() == e.ids
