@@ -4,12 +4,15 @@ The tree is fitted on a bounded sample (FIT_ROWS vectors of the smallest hash of
 is then assigned to a leaf. A query walks the tree with a priority queue ordered by the greatest inner
 product a bin can hold (centre product plus query norm times bin radius, radii widened to all rows),
 which gives its leaves in order. How many leaves are visited is calibrated: calibration queries are
-answered exactly over all rows in blocks, and visits widen until their recall reaches the target.
+answered exactly over all rows in blocks, and visits widen until their recall reaches the target. A
+query goes on beyond that until its leaves hold k rows besides its own.
 
-Leaves are cut into blocks of at most BLOCK_ROWS rows, so that a leaf of very many equal vectors is
-several tasks' work; a block answers with at most k rows a query, and a query's blocks are merged.
-Scores are summed component by component in double precision, in one order everywhere, so that equal
-vectors tie exactly, and ties go to the smaller id.
+Leaves are cut into blocks of about BLOCK_ROWS rows, and the queries that visit a leaf into blocks of
+about QUERY_ROWS, so that neither a leaf of very many equal vectors nor one that very many queries visit
+is one task's work; a block answers with at most k rows a query, and a query's blocks are merged.
+Products by matrices find what may be among the k best; these are scored again component by component
+in double precision, in one order everywhere, so that equal vectors tie exactly, and ties go to the
+smaller id.
 
 Vectors that are null, empty, zero, of another length than most of the sample's, or that hold null
 or non-finite components take no part. Null ids take no part. Repeated ids stay separate rows.
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 FIT_ROWS, BRANCHES, LEAF_ROWS = 20_000, 8, 64
-CALIBRATION, TARGET_RECALL = 96, 0.98
-BLOCK_ROWS = 2048
+CALIBRATION, TARGET_RECALL = 96, 0.95
+BLOCK_ROWS, QUERY_ROWS = 2048, 4096
 _STATE = 7
 
 
@@ -45,13 +48,29 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best, greatest score first, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= edge)
-        return some[np.lexsort((ids[some], -scores[some]))[:k]]
     return np.lexsort((ids, -scores))[:k]
 
 
+def k_best(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (of id own): positions and scores of the k best rows that are not its own."""
+    out = []
+    norms = np.sqrt((vectors**2).sum(1)).max(initial=0)
+    for a in range(0, len(queries), 128):
+        some = queries[a : a + 128]
+        rough = some @ vectors.T
+        slack = 4e-16 * (queries.shape[1] + 8) * norms * np.sqrt((some**2).sum(1))  # more than rounding can differ
+        for i, q in enumerate(own[a : a + 128].tolist()):
+            row = np.where(ids == q, -np.inf, rough[i])
+            may = np.arange(len(ids))
+            if len(ids) > k + 1:
+                may = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 2 * slack[i])
+            may = may[ids[may] != q]
+            scores = products(some[i : i + 1], vectors[may])[0]
+            top = best(scores, ids[may], k)
+            out.append((may[top], scores[top]))
+    return out
+
+
 @dataclass
 class Tree:
     """Nodes by number: centres, radii, children; leaves are numbered on their own."""
@@ -62,6 +81,7 @@ class Tree:
     leaf: np.ndarray  # leaf number or -1
     leaves: int = 0
     parent: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    rows: dict[int, int] = field(default_factory=dict)  # rows of each leaf's node
 
     def assign(self, vectors: np.ndarray) -> np.ndarray:
         """Leaf of each vector: the nearest child, from the root on."""
@@ -76,14 +96,15 @@ class Tree:
             live = live[self.leaf[node[live]] < 0]
         return node
 
-    def visit(self, query: np.ndarray, limit: int) -> list[int]:
-        """Nodes of the first leaves, best bin first."""
-        norm, found = float(np.sqrt(query @ query)), []
+    def visit(self, query: np.ndarray, limit: int, least: int = 0) -> list[int]:
+        """Nodes of the first leaves, best bin first: limit of them, or as many more as hold least rows."""
+        norm, found, rows = float(np.sqrt(query @ query)), [], 0
         queue = [(0.0, 0)]
-        while queue and len(found) < limit:
+        while queue and (len(found) < limit or rows < least):
             _, n = heapq.heappop(queue)
             if self.leaf[n] >= 0:
                 found.append(n)
+                rows += self.rows.get(n, 0)
                 continue
             kids = self.children[n]
             bounds = self.centres[kids] @ query + norm * self.radii[kids]
@@ -147,12 +168,9 @@ def _exact(rows: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int) -> d
             own, v, node = batch.column("id").to_numpy(), _matrix(batch.column("v"), vectors.shape[1]), batch.column("node").to_numpy()
             for a in range(0, len(own), BLOCK_ROWS):
                 part = slice(a, a + BLOCK_ROWS)
-                scores = products(vectors, v[part])
                 out = []
-                for i, q in enumerate(ids.tolist()):
-                    other = np.flatnonzero(own[part] != q)
-                    top = other[best(scores[i, other], own[part][other], k)]
-                    out += [(q, float(scores[i, t]), int(own[part][t]), int(node[part][t])) for t in top]
+                for q, (top, scores) in zip(ids.tolist(), k_best(vectors, ids, v[part], own[part], k), strict=True):
+                    out += [(q, float(s), int(own[part][t]), int(node[part][t])) for t, s in zip(top, scores, strict=True)]
                 if not out:
                     continue
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["q", "score", "id", "node"])
@@ -165,6 +183,15 @@ def _exact(rows: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int) -> d
     return answers
 
 
+def _blocks(rows: dict[int, int], size: int):
+    """Blocks of the leaf in column node, so that each has about size rows."""
+    several = {n: -(-c // size) for n, c in rows.items() if c > size}
+    if not several:
+        return F.lit(1).cast("long")
+    found = F.create_map(*[F.lit(int(x)) for pair in several.items() for x in pair])
+    return F.coalesce(found[F.col("node").cast("int")], F.lit(1)).cast("long")
+
+
 @dataclass
 class Index:
     rows: DataFrame  # id, v, node, block
@@ -193,18 +220,12 @@ def build(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k
 
     indexed = written(rows.filter(F.size("v") == width).mapInArrow(assign, "id long, v array<double>, node long, distance double"), "vectors")
     for r in indexed.groupBy("node").agg(F.max("distance").alias("far"), F.count("*").alias("n")).collect():  # a row for each leaf
-        tree.radii[r.node] = r.far
+        tree.radii[r.node], tree.rows[r.node] = r.far, r.n
     for n in range(len(tree.centres) - 1, 0, -1):  # parents come before children
         if tree.radii[n] >= 0:
             p = tree.parent[n]
             tree.radii[p] = max(tree.radii[p], float(np.linalg.norm(tree.centres[n] - tree.centres[p])) + tree.radii[n])
-    sizes = {r.node: r.n for r in indexed.groupBy("node").agg(F.count("*").alias("n")).collect()}
-    blocks = {n: -(-c // BLOCK_ROWS) for n, c in sizes.items() if c > BLOCK_ROWS}
-    salt = F.lit(0).cast("long")
-    if blocks:
-        several = F.create_map(*[F.lit(int(x)) for n, b in blocks.items() for x in (n, b)])
-        salt = F.coalesce(F.pmod(F.xxhash64("id", F.lit(5)), several[F.col("node").cast("int")].cast("long")), salt)
-    indexed = indexed.withColumn("block", salt)
+    indexed = indexed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), _blocks(tree.rows, BLOCK_ROWS)))
 
     asked = rows.filter((calibration if calibration is not None else F.lit(True)) & (F.size("v") == width)).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION).collect()
     visits, recall = tree.leaves, 1.0
@@ -236,30 +257,28 @@ def search(index: Index | None, queries: DataFrame, k: int = 20) -> DataFrame:
         for batch in batches:
             q, v = batch.column("id").to_numpy(), _matrix(batch.column("v"), width)
             for a in range(0, len(q), 256):
-                found = [tree.visit(x, visits) for x in v[a : a + 256]]
+                found = [tree.visit(x, visits, k + 1) for x in v[a : a + 256]]
                 n = [len(x) for x in found]
                 take = pa.array(np.repeat(np.arange(a, a + len(found)), n))
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("v").take(take), pa.array(np.concatenate(found).astype(np.int64))], ["id", "v", "node"])
 
-    asked = queries.filter(F.size("v") == width).select("id", "v").mapInArrow(visit, "id long, v array<double>, node long")
+    asked = written(queries.filter(F.size("v") == width).select("id", "v").mapInArrow(visit, "id long, v array<double>, node long"), "asked")
+    many = {r.node: r.n for r in asked.groupBy("node").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
+    # each block of a leaf's queries meets each block of its rows
     several = index.rows.select(F.col("node").alias("bin"), F.col("block").alias("part")).distinct()  # a row for each leaf block
-    asked = asked.withColumnRenamed("node", "bin").join(several, "bin")
+    asked = asked.withColumn("of", F.pmod(F.xxhash64("id", F.lit(7)), _blocks(many, QUERY_ROWS))).withColumnRenamed("node", "bin").join(several, "bin")
+    rows = index.rows.withColumn("asks", F.explode(F.sequence(F.lit(0).cast("long"), _blocks(many, QUERY_ROWS) - 1)))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
+        columns = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if len(left) and len(right):
             ids, v = right.column("id").to_numpy(), _matrix(right.column("v").combine_chunks(), width)
             q, x = left.column("id").to_numpy(), _matrix(left.column("v").combine_chunks(), width)
-            for a in range(0, len(q), 128):
-                scores = products(x[a : a + 128], v)
-                for i, own in enumerate(q[a : a + 128].tolist()):
-                    other = np.flatnonzero(ids != own)
-                    top = other[best(scores[i, other], ids[other], k)]
-                    out.append((np.full(len(top), own), ids[top], scores[i, top]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            found = k_best(x, q, v, ids, k)
+            columns = [np.repeat(q, [len(top) for top, _ in found]), ids[np.concatenate([top for top, _ in found])], np.concatenate([scores for _, scores in found])]
         return pa.Table.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
-    near = asked.groupBy("bin", "part").cogroup(index.rows.groupBy("node", "block")).applyInArrow(answer, "query_id long, vec_id long, score double")
+    near = asked.groupBy("bin", "part", "of").cogroup(rows.groupBy("node", "block", "asks")).applyInArrow(answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

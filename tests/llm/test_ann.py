@@ -45,3 +45,29 @@ def test_few_rows(spark):
     assert ann.nearest(table(spark, []).limit(0)).count() == 0
     rows = ann.nearest(table(spark, [[1.0, 0.0], [0.5, 0.0], [2.0, 0.0]], [20, 3, 2]), 20, 20).collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(rows)] == [(20, 1, 2, 2.0), (20, 2, 3, 0.5)]
+
+
+def test_queries_alone_in_their_leaf_look_further(spark, monkeypatch):
+    """Dense clusters make few visits enough for most queries; a lone one still gets all its rows."""
+    rng = np.random.default_rng(6)
+    vectors = np.concatenate([np.repeat(np.eye(8) * 5, 100, axis=0) + 0.01 * rng.normal(size=(800, 8)), -9 * np.eye(8)[:1]])
+    ids = [*range(1, 801), 1000]
+    rows = ann.nearest(table(spark, vectors.tolist(), ids), 20, 20).collect()
+    assert len([r for r in rows if r.query_id == 1000]) == 20
+
+
+def test_blocks_null_and_repeated_ids_and_other_lengths(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 4)
+    rng = np.random.default_rng(7)
+    vectors, ids = rng.normal(size=(300, 6)).tolist(), list(range(300))
+    vectors += [[1.0, 2.0], vectors[3], vectors[5]]
+    ids += [7, 3, None]
+    got = {}
+    for r in sorted(ann.nearest(table(spark, vectors, ids), 20, 20, target=1.0).collect()):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    keep = [i for i in range(len(ids)) if ids[i] is not None and len(vectors[i]) == 6]
+    truth = brute([vectors[i] for i in keep], [ids[i] for i in keep], 20, 20)
+    assert got.keys() == truth.keys()
+    hits = sum(len(set(got[q]) & set(truth[q])) for q in truth)
+    assert hits >= 0.97 * 20 * len(truth) and all(len(x) == 20 for x in got.values())
