@@ -7,9 +7,10 @@ which gives its leaves in order. How many leaves are visited is calibrated: cali
 answered exactly over all rows in blocks, and visits widen until their recall reaches the target. A
 query goes on beyond that until its leaves hold k rows besides its own.
 
-Leaves are cut into blocks of about BLOCK_ROWS rows, and the queries that visit a leaf into blocks of
-about QUERY_ROWS, so that neither a leaf of very many equal vectors nor one that very many queries visit
-is one task's work; a block answers with at most k rows a query, and a query's blocks are merged.
+Neighbouring leaves are put together in packs of about BLOCK_ROWS rows; a larger leaf is cut into blocks
+of that size, and the queries that visit a pack into blocks of about QUERY_ROWS, so that neither a leaf of
+very many equal vectors nor one that very many queries visit is one task's work. A block scores the
+leaves that a query visits, and answers with at most k rows a query; a query's blocks are merged.
 Products by matrices find what may be among the k best; these are scored again component by component
 in double precision, in one order everywhere, so that equal vectors tie exactly, and ties go to the
 smaller id.
@@ -39,36 +40,38 @@ _STATE = 7
 
 
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of all rows of q and v in double precision, summed in component order."""
-    out = np.zeros((len(q), len(v)))
+    """Inner products of the rows of q and v, pair by pair, in double precision, summed in component order."""
+    out = np.zeros(len(q))
     for j in range(q.shape[1]):
-        out += np.multiply.outer(q[:, j], v[:, j])
+        out += q[:, j] * v[:, j]
     return out
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best, greatest score first, ties to the smaller id."""
-    return np.lexsort((ids, -scores))[:k]
+def k_best(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and score of the k best rows for each query, best first, ties to the smaller id.
 
-
-def k_best(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (of id own): positions and scores of the k best rows that are not its own."""
-    out = []
-    norms = np.sqrt((vectors**2).sum(1)).max(initial=0)
-    for a in range(0, len(queries), 128):
-        some = queries[a : a + 128]
+    Rows of a query's own id are left out, and those that allowed(first query, last query) leaves out.
+    """
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    norm = np.sqrt((vectors**2).sum(1)).max(initial=0)
+    for a in range(0, len(queries) if len(ids) else 0, 256):
+        some = queries[a : a + 256]
         rough = some @ vectors.T
-        slack = 4e-16 * (queries.shape[1] + 8) * norms * np.sqrt((some**2).sum(1))  # more than rounding can differ
-        for i, q in enumerate(own[a : a + 128].tolist()):
-            row = np.where(ids == q, -np.inf, rough[i])
-            may = np.arange(len(ids))
-            if len(ids) > k + 1:
-                may = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 2 * slack[i])
-            may = may[ids[may] != q]
-            scores = products(some[i : i + 1], vectors[may])[0]
-            top = best(scores, ids[may], k)
-            out.append((may[top], scores[top]))
-    return out
+        rough[own[a : a + 256, None] == ids] = -np.inf
+        if allowed is not None:
+            rough[~allowed(a, a + len(some))] = -np.inf
+        slack = 1e-15 * (queries.shape[1] + 8) * norm * np.sqrt((some**2).sum(1))  # more than rounding can differ
+        edge = np.full(len(some), -np.inf)
+        if len(ids) > k:
+            edge = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] - slack
+        q, r = np.nonzero((rough >= edge[:, None]) & (rough > -np.inf))
+        scores = products(some[q], vectors[r])
+        order = np.lexsort((ids[r], -scores, q))
+        q, r, scores = q[order], r[order], scores[order]
+        first = np.searchsorted(q, q)
+        top = np.arange(len(q)) - first < k
+        out.append((q[top] + a, r[top], scores[top]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 @dataclass
@@ -82,6 +85,7 @@ class Tree:
     leaves: int = 0
     parent: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
     rows: dict[int, int] = field(default_factory=dict)  # rows of each leaf's node
+    pack: dict[int, int] = field(default_factory=dict)  # pack of each leaf's node
 
     def assign(self, vectors: np.ndarray) -> np.ndarray:
         """Leaf of each vector: the nearest child, from the root on."""
@@ -92,7 +96,7 @@ class Tree:
                 at = live[node[live] == n]
                 kids = np.array(self.children[n])
                 centres = self.centres[kids]
-                node[at] = kids[np.argmin((centres**2).sum(1) - 2 * products(vectors[at], centres), axis=1)]
+                node[at] = kids[np.argmin((centres**2).sum(1) - 2 * vectors[at] @ centres.T, axis=1)]
             live = live[self.leaf[node[live]] < 0]
         return node
 
@@ -114,6 +118,17 @@ class Tree:
         return found
 
 
+    def order(self) -> list[int]:
+        """Nodes of the leaves that hold any row, neighbours together."""
+        found, todo = [], [0]
+        while todo:
+            n = todo.pop()
+            todo += self.children[n]
+            if n in self.rows:
+                found.append(n)
+        return found
+
+
 def fit_tree(sample: np.ndarray) -> Tree:
     """Splits by k-means until a bin is small or cannot be split."""
     rng = np.random.default_rng(_STATE)
@@ -168,12 +183,8 @@ def _exact(rows: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int) -> d
             own, v, node = batch.column("id").to_numpy(), _matrix(batch.column("v"), vectors.shape[1]), batch.column("node").to_numpy()
             for a in range(0, len(own), BLOCK_ROWS):
                 part = slice(a, a + BLOCK_ROWS)
-                out = []
-                for q, (top, scores) in zip(ids.tolist(), k_best(vectors, ids, v[part], own[part], k), strict=True):
-                    out += [(q, float(s), int(own[part][t]), int(node[part][t])) for t, s in zip(top, scores, strict=True)]
-                if not out:
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["q", "score", "id", "node"])
+                q, r, scores = k_best(vectors, ids, v[part], own[part], k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[q], scores, own[part][r], node[part][r].astype(np.int64))], ["q", "score", "id", "node"])
 
     got = rows.mapInArrow(run, "q long, score double, id long, node long")
     top = got.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k)
@@ -183,18 +194,9 @@ def _exact(rows: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int) -> d
     return answers
 
 
-def _blocks(rows: dict[int, int], size: int):
-    """Blocks of the leaf in column node, so that each has about size rows."""
-    several = {n: -(-c // size) for n, c in rows.items() if c > size}
-    if not several:
-        return F.lit(1).cast("long")
-    found = F.create_map(*[F.lit(int(x)) for pair in several.items() for x in pair])
-    return F.coalesce(found[F.col("node").cast("int")], F.lit(1)).cast("long")
-
-
 @dataclass
 class Index:
-    rows: DataFrame  # id, v, node, block
+    rows: DataFrame  # id, v, node, pack, block
     tree: Tree
     width: int
     visits: int
@@ -225,7 +227,18 @@ def build(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k
         if tree.radii[n] >= 0:
             p = tree.parent[n]
             tree.radii[p] = max(tree.radii[p], float(np.linalg.norm(tree.centres[n] - tree.centres[p])) + tree.radii[n])
-    indexed = indexed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), _blocks(tree.rows, BLOCK_ROWS)))
+    packs, size = [], 0  # leaves by pack, in the order of the tree
+    for n in tree.order():
+        if packs and size + tree.rows[n] <= BLOCK_ROWS:
+            packs[-1].append(n)
+        else:
+            packs.append([n])
+            size = 0
+        size += tree.rows[n]
+    of = [(int(n), k, -(-tree.rows[n] // BLOCK_ROWS)) for k, own in enumerate(packs) for n in own]
+    tree.pack = {n: k for n, k, _ in of}
+    places = F.broadcast(table.sparkSession.createDataFrame(of, "node long, pack int, blocks int"))  # a row for each leaf
+    indexed = indexed.join(places, "node").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks").cast("long")).cast("int")).drop("blocks", "distance")
 
     asked = rows.filter((calibration if calibration is not None else F.lit(True)) & (F.size("v") == width)).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION).collect()
     visits, recall = tree.leaves, 1.0
@@ -257,28 +270,41 @@ def search(index: Index | None, queries: DataFrame, k: int = 20) -> DataFrame:
         for batch in batches:
             q, v = batch.column("id").to_numpy(), _matrix(batch.column("v"), width)
             for a in range(0, len(q), 256):
-                found = [tree.visit(x, visits, k + 1) for x in v[a : a + 256]]
-                n = [len(x) for x in found]
-                take = pa.array(np.repeat(np.arange(a, a + len(found)), n))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("v").take(take), pa.array(np.concatenate(found).astype(np.int64))], ["id", "v", "node"])
-
-    asked = written(queries.filter(F.size("v") == width).select("id", "v").mapInArrow(visit, "id long, v array<double>, node long"), "asked")
-    many = {r.node: r.n for r in asked.groupBy("node").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
-    # each block of a leaf's queries meets each block of its rows
-    several = index.rows.select(F.col("node").alias("bin"), F.col("block").alias("part")).distinct()  # a row for each leaf block
-    asked = asked.withColumn("of", F.pmod(F.xxhash64("id", F.lit(7)), _blocks(many, QUERY_ROWS))).withColumnRenamed("node", "bin").join(several, "bin")
-    rows = index.rows.withColumn("asks", F.explode(F.sequence(F.lit(0).cast("long"), _blocks(many, QUERY_ROWS) - 1)))
+                out: list[tuple] = []  # query, pack, leaves
+                for i, x in enumerate(v[a : a + 256], a):
+                    by_pack: dict[int, list[int]] = {}
+                    for n in tree.visit(x, visits, k + 1):
+                        by_pack.setdefault(tree.pack[n], []).append(n)
+                    out += [(i, p, own) for p, own in by_pack.items()]
+                at, packs, leaves = zip(*out, strict=True)
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("v").take(take), pa.array(packs, pa.int32()), pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "pack", "leaves"])
+
+    asked = written(queries.filter(F.size("v") == width).select("id", "v").mapInArrow(visit, "id long, v array<double>, pack int, leaves array<long>"), "asked")
+    # each block of a pack's queries meets each block of its rows
+    of = asked.groupBy("pack").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))
+    blocks = index.rows.groupBy("pack").agg((F.max("block") + 1).alias("blocks"))
+    sizes = F.broadcast(written(of.join(blocks, "pack"), "packs"))  # a row for each pack
+    asked = asked.join(sizes, "pack").withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts").cast("long")).cast("int"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = asked.select("id", "v", "leaves", F.col("pack").alias("of"), F.col("block").alias("at"), "part")
+    copies = F.broadcast(sizes.select("pack", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("copy")))
+    rows = index.rows.join(copies, "pack")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if len(left) and len(right):
-            ids, v = right.column("id").to_numpy(), _matrix(right.column("v").combine_chunks(), width)
-            q, x = left.column("id").to_numpy(), _matrix(left.column("v").combine_chunks(), width)
-            found = k_best(x, q, v, ids, k)
-            columns = [np.repeat(q, [len(top) for top, _ in found]), ids[np.concatenate([top for top, _ in found])], np.concatenate([scores for _, scores in found])]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
-
-    near = asked.groupBy("bin", "part", "of").cogroup(rows.groupBy("node", "block", "asks")).applyInArrow(answer, "query_id long, vec_id long, score double")
+        ids, node, v = right.column("id").to_numpy(), right.column("node").to_numpy(), _matrix(right.column("v").combine_chunks(), width)
+        q, x = left.column("id").to_numpy(), _matrix(left.column("v").combine_chunks(), width)
+        leaves, of_row = np.unique(node, return_inverse=True)
+        lists = left.column("leaves").combine_chunks()
+        visited = np.zeros((len(q), len(leaves) + 1), bool)
+        if len(leaves):
+            wanted = np.asarray(lists.flatten())
+            at = np.minimum(np.searchsorted(leaves, wanted), len(leaves) - 1)
+            visited[np.repeat(np.arange(len(q)), np.asarray(lists.value_lengths())), np.where(leaves[at] == wanted, at, len(leaves))] = True
+        i, r, scores = k_best(x, q, v, ids, k, lambda a, b: visited[a:b][:, of_row])
+        return pa.Table.from_arrays([pa.array(q[i]), pa.array(ids[r]), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+    near = asked.groupBy("of", "at", "part").cogroup(rows.groupBy("pack", "block", "copy")).applyInArrow(answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -14,7 +14,7 @@ def brute(vectors, ids, every, k):
     n = np.array([i for i, _ in good])
     for i, v in good:
         if i % every == 0:
-            s = ann.products(v[None], m)[0]
+            s = ann.products(np.repeat(v[None], len(m), axis=0), m)
             order = [j for j in np.lexsort((n, -s)) if n[j] != i][:k]
             out[i] = [(int(n[j]), s[j]) for j in order]
     return out
