@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from html.entities import html5
 from urllib.parse import urljoin, urlparse
 
 import pandas as pd
@@ -17,8 +19,9 @@ _SPACE = r"[\s\p{Z}]+"
 CHARSETS = ("US-ASCII", "ISO-8859-1", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32")
 #: Elements whose content is no text and holds no links.
 DROPPED = ("script", "style", "noscript", "nav", "footer", "header")
-#: Entities that are decoded, `&amp;` last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Named entities, from the standard library's table.
+_NAMED = json.dumps({f"&{name}": text for name, text in html5.items() if name.endswith(";") and name not in ("amp;", "AMP;")})
+_AMPERSAND = r"&(?:amp;|AMP;|#0*38;|#[xX]0*26;)"
 #: Private-use characters that stand for the marks until the text is escaped.
 _OPEN, _CLOSE = "\ue000", "\ue001"
 
@@ -61,10 +64,28 @@ def snippet(text: Column, terms: list[str], length: int = SNIPPET_CHARS) -> Colu
     return F.when(found == 0, escape_html(F.substring(text, 1, length))).otherwise(cut)
 
 
+def _each(text: Column, pattern: str, to) -> Column:
+    """Text with every match of the pattern replaced by what to gives; those without an answer stay."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    # longest first, so that no match is a part of one that is replaced later
+    found = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
+    return F.aggregate(found, text, lambda out, e: F.replace(out, e, F.coalesce(to(e), e)))
+
+
+def _character(entity: Column) -> Column:
+    """The character that a numeric entity names; null for none, U+FFFD for what is no character."""
+    digits = F.regexp_extract(entity, r"&#[xX]?0*([0-9a-fA-F]*);", 1)
+    code = F.when(F.lower(entity).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+    good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
 def _decoded(text: Column) -> Column:
-    for name, raw in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(raw))
-    return text
+    """Text with entities decoded, once: those of the ampersand come last."""
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+    text = _each(text, r"&#(?:[0-9]+|[xX][0-9a-fA-F]+);", lambda e: F.when(e.rlike(_AMPERSAND), e).otherwise(_character(e)))
+    text = _each(text, r"&[A-Za-z][A-Za-z0-9]*;", lambda e: F.element_at(named, e))
+    return F.replace(F.regexp_replace(text, _AMPERSAND, "&"), F.lit("\u00a0"), F.lit(" "))
 
 
 def _collapsed(text: Column) -> Column:
@@ -90,8 +111,8 @@ def html_text(html: Column) -> Column:
 
 def html_hrefs(html: Column) -> Column:
     """array<string>: link targets as written, outside of dropped elements."""
-    found = F.regexp_extract_all(content(html), F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    return F.transform(found, _decoded)
+    found = F.regexp_extract_all(content(html), F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    return F.transform(found, lambda href: _decoded(F.regexp_replace(href, r"""^["']|["']$""", "")))
 
 
 @F.pandas_udf(StringType())

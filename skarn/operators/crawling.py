@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.robotparser import RobotFileParser
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup
+from ..plans.lineage import cut
 
 LEAST_TEXT = 100
 
@@ -15,11 +19,11 @@ def admitted(fetched: DataFrame) -> DataFrame:
     return fetched.filter((F.col("status") == 200) & F.contains(F.lower("content_type"), F.lit("text/html")))
 
 
-def extract_pages(fetched: DataFrame, least_text: int = LEAST_TEXT) -> DataFrame:
-    """url, url_hash, title, body_text of fetched (url, html) whose text is long enough."""
+def extract_pages(fetched: DataFrame, least_text: int = LEAST_TEXT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """url, url_hash, title, body_text (and keep) of fetched (url, html) whose text is long enough."""
     text = markup.html_text(F.col("html"))
-    found = fetched.select("url", F.substring(markup.html_title(F.col("html"), F.col("url")), 1, markup.TITLE_CHARS).alias("title"), text.alias("body_text"))
-    return found.filter(F.length("body_text") >= least_text).select(F.substring("url", 1, markup.URL_CHARS).alias("url"), markup.url_hash(F.col("url")).alias("url_hash"), "title", "body_text")
+    found = fetched.select(*keep, "url", F.substring(markup.html_title(F.col("html"), F.col("url")), 1, markup.TITLE_CHARS).alias("title"), text.alias("body_text"))
+    return found.filter(F.length("body_text") >= least_text).select(F.substring("url", 1, markup.URL_CHARS).alias("url"), markup.url_hash(F.col("url")).alias("url_hash"), "title", "body_text", *keep)
 
 
 def extract_links(fetched: DataFrame) -> DataFrame:
@@ -32,15 +36,53 @@ def link_edges(links: DataFrame) -> DataFrame:
     return links.select(markup.url_hash(F.col("url")).alias("source_url_hash"), markup.url_hash(F.col("link")).alias("target_url_hash")).distinct()
 
 
-def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """URLs whose path no rule (host, prefix) disallows; hosts without any row of rules are denied.
+def robots_rules(files: DataFrame, agent: str = "*") -> DataFrame:
+    """host, prefix, allow, ord: the rules for the agent of robots files (host, body), in their order.
+
+    A file without any rule for the agent is a row of a null prefix; hosts without a readable file have none.
+    """
 
-    A readable robots file without rules is a row of a null prefix.
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for host, body in zip(batch.column("host").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                if body is None:
+                    continue
+                parser = RobotFileParser()
+                parser.parse(body.splitlines())
+                entry = next((e for e in parser.entries if e.applies_to(agent)), parser.default_entry)
+                lines = entry.rulelines if entry else []
+                out += [(host, r.path, r.allowance, i) for i, r in enumerate(lines)] or [(host, None, True, 0)]
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "prefix", "allow", "ord"])
+
+    return files.select("host", "body").mapInArrow(run, "host string, prefix string, allow boolean, ord int")
+
+
+def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls and may_fetch: the first rule whose prefix the path and query begin with decides, without one it may.
+
+    Rules are (host, prefix) and optionally allow and ord; without these columns they disallow. Hosts
+    without any row of rules are denied. A readable robots file without rules is a row of a null prefix.
     """
-    parts = urls.withColumn("host", F.expr("try_parse_url(url, 'AUTHORITY')")).withColumn("path", F.coalesce(F.expr("try_parse_url(url, 'PATH')"), F.lit("/")))
+    for name, value in (("allow", F.lit(False)), ("ord", F.lit(0))):
+        if name not in rules.columns:
+            rules = rules.withColumn(name, value)
+    plain = urls.select("url").distinct()
+    query = F.expr("try_parse_url(url, 'QUERY')")
+    path = F.concat(F.coalesce(F.nullif(F.expr("try_parse_url(url, 'PATH')"), F.lit("")), F.lit("/")), F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise(""))
+    parts = plain.withColumn("host", F.expr("try_parse_url(url, 'AUTHORITY')")).withColumn("path", path)
     known = parts.join(rules.select("host").distinct(), "host", "left_semi")
-    denied = rules.filter("prefix IS NOT NULL AND prefix <> ''").select(F.col("host").alias("h"), "prefix")
-    return known.join(denied, (F.col("host") == F.col("h")) & F.col("path").startswith(F.col("prefix")), "left_anti").select(*urls.columns)
+    said = rules.filter("prefix IS NOT NULL AND (prefix <> '' OR allow)").select(F.col("host").alias("h"), "prefix", "allow", "ord")
+    meets = known.join(said, (F.col("host") == F.col("h")) & F.col("path").startswith(F.col("prefix")), "left")
+    first = meets.groupBy("url").agg(F.min(F.when(F.col("h").isNotNull(), F.struct("ord", "allow"))).alias("first"))
+    return urls.join(first.select("url", F.coalesce("first.allow", F.lit(True)).alias("may_fetch")), "url", "left").withColumn("may_fetch", F.coalesce("may_fetch", F.lit(False))).select(*urls.columns, "may_fetch")
+
+
+def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """URLs that the rules let a crawler fetch."""
+    return judged(urls, rules).filter("may_fetch").drop("may_fetch")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "url_hash", at: str = "crawled_at", id_col: str = "page_id") -> DataFrame:
@@ -62,30 +104,42 @@ def frontier(links: DataFrame, visited: DataFrame) -> DataFrame:
     return links.select(F.col("link").alias("url")).distinct().join(visited.select("url"), "url", "left_anti")
 
 
-def crawl_levels(pages: DataFrame, seed: str, max_pages: int = 200, refresh: bool = False, existing: DataFrame | None = None) -> DataFrame:
-    """Breadth-first order over fetched pages (url, html): url, level. Levels are sets; inside one, urls order.
+def crawl(fetched: DataFrame, seed: str, max_pages: int = 200, refresh: bool = False, existing: DataFrame | None = None, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A breadth-first crawl over what was fetched: saved pages (url, level), and the fetch log (url, status).
 
-    Existing pages are neither saved nor followed unless refresh is set.
+    fetched has url and html, and may have status and content_type. Only pages that are admitted and
+    hold enough text are saved, count towards max_pages and have their links followed. Every visit is
+    logged: 403 where the rules forbid it, else the fetch's status. Existing pages are neither fetched
+    nor followed unless refresh is set. Levels are sets; inside one, urls order.
     """
-    from ..plans.lineage import cut
-
-    spark = pages.sparkSession
-    links = cut(extract_links(pages), "links")
-    ready = pages.select("url").join(existing.select("url"), "url", "left_anti") if existing is not None and not refresh else pages.select("url")
-    first = spark.createDataFrame([(seed, 0)], "url string, level int").join(ready, "url", "left_semi")
-    wave, level = cut(first, "wave"), 0
-    seen, saved = wave, wave.count()
+    for name, value in (("status", F.lit(200)), ("content_type", F.lit("text/html"))):
+        if name not in fetched.columns:
+            fetched = fetched.withColumn(name, value)
+    if existing is not None and not refresh:
+        fetched = fetched.join(existing.select("url"), "url", "left_anti")
+    good = extract_pages(admitted(fetched)).select("url").withColumn("saved", F.lit(True))
+    visits = fetched.select("url", "status").join(good, "url", "left").withColumn("saved", F.coalesce("saved", F.lit(False)))
+    if rules is not None:
+        may = F.col("may_fetch")
+        visits = judged(visits, rules).select("url", F.when(may, F.col("status")).otherwise(403).alias("status"), (may & F.col("saved")).alias("saved"))
+    visits, links = cut(visits, "visits"), cut(extract_links(fetched), "links")
+
+    def wave_of(urls: DataFrame, level: int) -> DataFrame:
+        return cut(visits.join(urls, "url", "left_semi").withColumn("level", F.lit(level)), "wave")
+
+    wave, level = wave_of(visits.sparkSession.createDataFrame([(seed,)], "url string"), 0), 0
+    seen, saved = wave, wave.filter("saved").count()
     while saved < max_pages and not wave.isEmpty():
         level += 1
-        new = links.join(wave.select("url"), "url", "left_semi").select(F.col("link").alias("url")).distinct()
-        new = new.join(seen.select("url"), "url", "left_anti").join(ready, "url", "left_semi")
-        wave = cut(new.withColumn("level", F.lit(level)), "wave")
-        found = wave.count()
-        if found > max_pages - saved:
-            wave = cut(wave.orderBy("url").limit(max_pages - saved), "wave")
-        saved += min(found, max_pages - saved)
+        new = links.join(wave.filter("saved").select("url"), "url", "left_semi").select(F.col("link").alias("url")).distinct()
+        wave = wave_of(new.join(seen.select("url"), "url", "left_anti"), level)
+        found, room = wave.filter("saved").count(), max_pages - saved
+        if found > room:  # the crawl ends with the page that fills it
+            last = wave.filter("saved").orderBy("url").limit(room).agg(F.max("url")).first()[0]
+            wave = cut(wave.filter(F.col("url") <= last), "wave")
+        saved += min(found, room)
         seen = cut(seen.unionByName(wave), "seen")
-    return seen
+    return seen.filter("saved").select("url", "level"), seen.select("url", F.col("status").cast("int").alias("status"))
 
 
 def crawl_metrics(log: DataFrame) -> DataFrame:

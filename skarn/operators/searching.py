@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, scoring
 from ..plans.lineage import cut, spread
-from . import graph, indexing
+from . import graph, indexing, spelling
 from .indexing import RankingConfig
 
 
@@ -20,6 +20,7 @@ class Index:
     postings: DataFrame
     page_rank: DataFrame
     meta: DataFrame
+    grams: DataFrame  # of the terms, for spelling
 
     @property
     def spark(self) -> SparkSession:
@@ -45,7 +46,8 @@ def build_index(pages: DataFrame, edges: DataFrame | None = None, keep=cut) -> I
         meta = keep(indexing.index_meta(count, terms.count(), average, spark), "index_meta")
     else:
         meta = spark.createDataFrame([], "key_name string, value_num double, value_text string, updated_at timestamp")
-    return Index(pages, terms, posted, stats, meta)
+    grams = keep(spelling.gram_table(terms).repartitionByRange("gram", "term").sortWithinPartitions("gram", "term"), "grams")
+    return Index(pages, terms, posted, stats, meta, grams)
 
 
 def matched_terms(index: Index, tokens: list[str]) -> DataFrame:
@@ -133,7 +135,10 @@ def page_of(scored: DataFrame, page: int, limit: int) -> DataFrame:
 
 
 def enrich(index: Index, top: DataFrame, highlight: list[str]) -> DataFrame:
-    """Adds url, title and snippet; bodies are read for the page's few rows only."""
-    shown = index.pages.join(F.broadcast(top), "page_id")  # top: one result page
+    """Adds url, title and snippet to one result page; of pages, sorted by id, only the rows' own are read."""
+    rows = top.collect()  # one result page
+    ids = [r.page_id for r in rows]
+    top = index.spark.createDataFrame(rows, top.schema)
+    shown = index.pages.filter(F.col("page_id").isin(*ids) if ids else F.lit(False)).join(F.broadcast(top), "page_id")
     title = F.coalesce(F.nullif("title", F.lit("")), F.col("url"), F.lit(""))
     return shown.select(*top.columns, F.coalesce("url", F.lit("")).alias("url"), title.alias("title"), markup.snippet(F.col("body_text"), highlight).alias("snippet")).orderBy(F.desc("final_score"), "page_id")

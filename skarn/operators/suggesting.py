@@ -20,13 +20,13 @@ def suggest_positional(terms: DataFrame, prefix: str) -> DataFrame:
     return found.orderBy(F.desc("doc_freq"), "term").limit(SUGGESTIONS).select("term", "doc_freq")
 
 
-def prefix_table(terms: DataFrame, most: int = PER_PREFIX, longest: int = 3) -> DataFrame:
-    """prefix, rank, term, doc_freq: the most frequent terms of each prefix of up to `longest` letters.
+def prefix_table(terms: DataFrame, most: int = PER_PREFIX) -> DataFrame:
+    """prefix, rank, term, doc_freq: the most frequent terms of each prefix.
 
     Prefixes of one letter hold a large part of all terms, so terms are cut to the best in slices of
     each prefix first.
     """
-    rows = terms.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(longest))), lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("prefix"), "term", "doc_freq")
+    rows = terms.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("prefix"), "term", "doc_freq")
     order = (F.desc("doc_freq"), F.col("term"))
     sliced = rows.withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(16)))
     best = sliced.withColumn("r", F.row_number().over(Window.partitionBy("prefix", "slice").orderBy(*order))).filter(F.col("r") <= most)

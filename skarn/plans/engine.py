@@ -8,9 +8,10 @@ from __future__ import annotations
 import time
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import markup
 from ..functions.words import query_tokens, suggestion_prefix
 from ..operators import crawling, graph, indexing, searching, spelling, suggesting
 from ..sources.tables import Store
@@ -47,18 +48,32 @@ class SearchEngine:
 
     def build(self, pages: DataFrame, edges: DataFrame | None = None) -> dict:
         """Builds the index of pages; edges (src, dst) are page ids, by default what the crawl stored."""
-        pages = self.store.overwrite("pages", pages)
+        pages = self.store.overwrite("pages", pages.repartitionByRange("page_id").sortWithinPartitions("page_id"))
         if edges is None:
             edges = graph.resolve_edges(self.store.table("crawl_edges"), pages)
         self._config, self._index = None, None
         found = searching.build_index(pages, edges, keep=lambda df, name: self.store.overwrite(name, df))
         return {"pages": pages.count(), "terms": found.terms.count(), "postings": found.postings.count()}
 
+    def crawl(self, fetched: DataFrame, seed: str, max_pages: int = 200, refresh: bool = False, rules: DataFrame | None = None) -> dict:
+        """Crawls over fetched rows (url, html, crawled_at, and status and content_type if there are any).
+
+        Stores pages and edges of what it saves, and adds every visit to the fetch log.
+        """
+        pages = self.store.table("pages")
+        levels, log = crawling.crawl(fetched, seed, max_pages, refresh, pages, rules)
+        rows = fetched.join(levels.select("url"), "url", "left_semi")
+        self.store.overwrite("pages", crawling.upsert(pages, crawling.extract_pages(rows, keep=("crawled_at",))))
+        edges = crawling.link_edges(crawling.extract_links(rows))
+        self.store.overwrite("crawl_edges", crawling.insert_ignore(self.store.table("crawl_edges"), edges, ["source_url_hash", "target_url_hash"]))
+        log = log.select(F.xxhash64("url", F.current_timestamp()).alias("id"), F.substring("url", 1, markup.URL_CHARS).alias("url"), "status", F.current_timestamp().alias("crawled_at"))
+        return {"saved": levels.count(), "visited": self.store.append("crawl_log", log).count()}
+
     @property
     def index(self) -> searching.Index:
         if self._index is None:
             t = self.store.table
-            self._index = searching.Index(t("pages"), t("terms"), t("postings"), t("page_rank"), t("index_meta"))
+            self._index = searching.Index(t("pages"), t("terms"), t("postings"), t("page_rank"), t("index_meta"), t("grams"))
         return self._index
 
     @property
@@ -78,7 +93,7 @@ class SearchEngine:
         tokens = asked
         out = {"query": query, "total": 0, "page": page, "limit": limit, "diagnostics": diagnostics, "results": []}
         if positional:
-            fixed = spelling.correct_tokens(spelling.token_rows(self.spark, asked), self.index.terms).orderBy("ix").collect() if asked else []
+            fixed = spelling.correct_tokens(spelling.token_rows(self.spark, asked), self.index.terms, self.index.grams).orderBy("ix").collect() if asked else []
             tokens = [r.term for r in fixed]
             changes = [{"from": r.token, "to": r.term, "distance": r.distance} for r in fixed if r.distance is not None]
             diagnostics |= {"search_terms": tokens, "correction_applied": bool(changes), "corrected_query": " ".join(tokens) if changes else None, "corrections": changes, "unmatched_terms": [], "candidate_pool": 0}
@@ -96,16 +111,15 @@ class SearchEngine:
     def _ranked(self, out: dict, tokens: list[str], asked: list[str], page: int, limit: int) -> None:
         positional = self.profile == "positional"
         score = searching.score_positional if positional else searching.score_classic
-        scored = score(self.index, tokens, self.config)
+        pool = Observation()  # counted on the way: one job scores, counts and takes the page
+        scored = score(self.index, tokens, self.config).observe(pool, F.count("*").alias("total"), F.sum("term_hits").alias("postings"))
+        rows = searching.page_of(scored, page, limit).collect()
+        out["total"] = pool.get["total"]
         if positional:
-            scored = scored.join(self.index.pages.select("page_id"), "page_id", "left_semi")
-            out["diagnostics"]["candidate_pool"] = self.index.postings.filter(F.col("term").isin(*set(tokens))).count()
-            out["total"] = scored.count()
-        else:
-            scored = scored.join(self.index.pages.select("page_id"), "page_id", "left_semi")
-            out["total"] = searching.total_hits(self.index, tokens).first()[0]
+            out["diagnostics"]["candidate_pool"] = pool.get["postings"] or 0
+        top = self.spark.createDataFrame(rows, scored.schema)
         places = 4 if positional else 3
-        for r in searching.enrich(self.index, searching.page_of(scored, page, limit), tokens if positional else asked).collect():
+        for r in searching.enrich(self.index, top, tokens if positional else asked).collect():
             signals = {"bm25": round(r.bm25, 4), "page_rank": round(r.page_rank, 4), "coverage": round(r.coverage, places)}
             if positional:
                 signals |= {"phrase": round(r.phrase, 4), "proximity": round(r.proximity, 4)}

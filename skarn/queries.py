@@ -32,7 +32,8 @@ def query(sql: str):
 
 @lru_cache(maxsize=4)
 def _index(app: str, spark: SparkSession, sf_dir: str) -> searching.Index:
-    pages = cut(tables.document_pages(tables.read(spark, sf_dir, "documents")), "pages")
+    pages = tables.document_pages(tables.read(spark, sf_dir, "documents"))
+    pages = cut(pages.repartitionByRange("page_id").sortWithinPartitions("page_id"), "pages")
     return searching.build_index(pages, tables.host_chain(pages))
 
 
@@ -181,17 +182,36 @@ def dangling_mass(spark, sf_dir):
     return ranks.agg(F.round(F.sum(F.when(F.col("out_links") == 0, F.col("rank")).otherwise(0.0)), 9).alias("dangling"), F.round(F.sum("rank"), 9).alias("total"))
 
 
-_TRADE = """trade AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 500 = 0 AND c_nationkey <> s_nationkey)"""
+@query(", trade AS (SELECT DISTINCT o_custkey AS src, 1000000000 + l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey), party AS (SELECT c_custkey AS page_id FROM customer UNION ALL SELECT 1000000000 + s_suppkey FROM supplier) SELECT page_id, coalesce(i, 0) AS in_links, coalesce(o, 0) AS out_links FROM party LEFT JOIN (SELECT dst, count(*) AS i FROM trade GROUP BY dst) ON page_id = dst LEFT JOIN (SELECT src, count(*) AS o FROM trade GROUP BY src) ON page_id = src")
+def trade_degrees(spark, sf_dir):
+    """The graph of who buys from whom: customers to suppliers, over all orders; suppliers' ids begin at 10^9."""
+    t = {n: tables.read(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "supplier")}
+    supplier = F.lit(1_000_000_000)
+    trade = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (supplier + F.col("l_suppkey")).alias("dst"))
+    nodes = t["customer"].select(F.col("c_custkey").alias("page_id")).union(t["supplier"].select((supplier + F.col("s_suppkey")).alias("page_id")))
+    return graph.degrees(trade, nodes)
 
 
-@query(f", {_TRADE} SELECT n_nationkey AS page_id, (SELECT count(*) FROM trade WHERE dst = n_nationkey) AS in_links, (SELECT count(*) FROM trade WHERE src = n_nationkey) AS out_links FROM nation")
-def nation_trade_degrees(spark, sf_dir):
-    """The graph of every 500th order is the graph, as its oracle has it; all of it is the complete graph."""
-    t = {n: tables.read(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "supplier", "nation")}
-    trade = t["lineitem"].filter("l_orderkey % 500 = 0").join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
-    nodes = t["nation"].select(F.col("n_nationkey").alias("page_id"))
-    return graph.degrees(trade.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")), nodes)
+_SHARED_SQL = """, link AS (SELECT page_id AS src, page_id // 3 AS dst FROM pg WHERE page_id > 0 UNION SELECT page_id, page_id // 7 FROM pg WHERE page_id > 0
+), size AS (SELECT count(*) AS total FROM pg
+), outs AS (SELECT src, count(*) AS n FROM link GROUP BY src
+), step AS (
+  SELECT 0 AS k, page_id, 1.0::DOUBLE / total AS rank FROM pg, size
+  UNION ALL
+  SELECT any_value(k) + 1, page_id, 0.15 / any_value(total) + 0.85 * any_value(loose) / any_value(total) + 0.85 * coalesce(sum(share), 0) FROM (
+    SELECT s.k, s.page_id, total, NULL AS share, sum(CASE WHEN n IS NULL THEN rank ELSE 0 END) OVER () AS loose FROM step s LEFT JOIN outs ON src = s.page_id, size WHERE s.k < 20
+    UNION ALL SELECT s.k, link.dst, NULL, rank / n, NULL FROM step s JOIN link ON link.src = s.page_id JOIN outs ON outs.src = s.page_id WHERE s.k < 20
+  ) GROUP BY page_id
+)"""
+
+
+@query(_SHARED_SQL + " SELECT page_id, round(rank * 1e6, 4) AS rank_ppm FROM step WHERE k = 20")
+def pagerank_shared(spark, sf_dir):
+    """Ranks in a tree of links in which up to ten pages share a target."""
+    pages = cut(pages_of(spark, sf_dir).select("page_id", "url"), "pages")
+    up = pages.filter("page_id > 0")
+    links = up.selectExpr("page_id AS src", "page_id DIV 3 AS dst").union(up.selectExpr("page_id AS src", "page_id DIV 7 AS dst")).distinct()
+    return graph.raw_ranks(links, pages).select("page_id", F.round(F.col("rank") * 1e6, 4).alias("rank_ppm"))
 
 
 # ---------------------------------------------------------------- ranked search
@@ -373,14 +393,14 @@ def term_grams(spark, sf_dir):
 
 @query(_CORRECT_SQL + " SELECT token, cand, overlap, keys FROM ov")
 def gram_overlap(spark, sf_dir):
-    terms = index_of(spark, sf_dir).terms
-    return spelling.gram_overlap(spelling.unknown_tokens(_asked(spark), terms), terms).select("token", "cand", "overlap", F.col("keys").cast("long").alias("keys"))
+    i = index_of(spark, sf_dir)
+    return spelling.gram_overlap(spelling.unknown_tokens(_asked(spark), i.terms), i.grams).select("token", "cand", "overlap", F.col("keys").cast("long").alias("keys"))
 
 
 @query(_CORRECT_SQL + " SELECT token, cand, CAST(distance AS INTEGER) AS distance, round(score, 6) AS score FROM scored")
 def edit_distance_candidates(spark, sf_dir):
-    terms = index_of(spark, sf_dir).terms
-    return spelling.scored_candidates(spelling.unknown_tokens(_asked(spark), terms), terms).select("token", "cand", "distance", F.round("score", 6).alias("score"))
+    i = index_of(spark, sf_dir)
+    return spelling.scored_candidates(spelling.unknown_tokens(_asked(spark), i.terms), i.grams).select("token", "cand", "distance", F.round("score", 6).alias("score"))
 
 
 _BEST_SQL = _CORRECT_SQL + ", best AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, df DESC, first_gram, cand) AS r FROM scored WHERE score >= 0.15)"
@@ -388,14 +408,15 @@ _BEST_SQL = _CORRECT_SQL + ", best AS (SELECT *, row_number() OVER (PARTITION BY
 
 @query(_BEST_SQL + " SELECT token, cand AS correction, CAST(distance AS INTEGER) AS distance, round(score, 6) AS score FROM best WHERE r = 1")
 def corrections(spark, sf_dir):
-    terms = index_of(spark, sf_dir).terms
-    return spelling.corrections(spelling.unknown_tokens(_asked(spark), terms), terms).select("token", "correction", "distance", F.round("score", 6).alias("score"))
+    i = index_of(spark, sf_dir)
+    return spelling.corrections(spelling.unknown_tokens(_asked(spark), i.terms), i.grams).select("token", "correction", "distance", F.round("score", 6).alias("score"))
 
 
 @query(_BEST_SQL + """, asked AS (SELECT generate_subscripts(t, 1) - 1 AS ix, unnest(t) AS token FROM (SELECT """ + repr(_TYPOS) + """ AS t))
   SELECT CAST(ix AS INTEGER) AS ix, a.token, coalesce(cand, a.token) AS term, CAST(distance AS INTEGER) AS distance FROM asked a LEFT JOIN (FROM best WHERE r = 1) b ON a.token = b.token""")
 def corrected_query(spark, sf_dir):
-    return spelling.correct_tokens(_asked(spark), index_of(spark, sf_dir).terms)
+    i = index_of(spark, sf_dir)
+    return spelling.correct_tokens(_asked(spark), i.terms, i.grams)
 
 
 @query(", asked AS (SELECT generate_subscripts(t, 1) - 1 AS ix, unnest(t) AS token FROM (SELECT " + repr(_TYPOS) + " AS t)) SELECT CAST(ix AS INTEGER) AS ix, token, token IN (SELECT term FROM trm) AS matched FROM asked")
@@ -407,7 +428,7 @@ def matched_tokens(spark, sf_dir):
 def search_corrected(spark, sf_dir):
     """A misspelt query finds what the words spelt right find."""
     i = index_of(spark, sf_dir)
-    fixed = spelling.correct_tokens(spelling.token_rows(spark, query_tokens("tiom er")), i.terms).orderBy("ix").collect()  # the query's tokens
+    fixed = spelling.correct_tokens(spelling.token_rows(spark, query_tokens("tiom er")), i.terms, i.grams).orderBy("ix").collect()  # the query's tokens
     return _shown(searching.page_of(searching.score_positional(i, [r.term for r in fixed], config_of(i, "positional")), 1, 20), 4)
 
 
@@ -424,7 +445,7 @@ def suggest_positional(spark, sf_dir):
     return suggesting.suggest_positional(index_of(spark, sf_dir).terms, "onre")
 
 
-@query(""", p AS (SELECT term, df, unnest(list_transform(generate_series(1, least(len(term), 3)), lambda i: substring(term, 1, i))) AS prefix FROM trm),
+@query(""", p AS (SELECT term, df, unnest(list_transform(generate_series(1, len(term)), lambda i: substring(term, 1, i))) AS prefix FROM trm),
   r AS (SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY df DESC, term) AS rank, term, df AS doc_freq FROM p) SELECT prefix, CAST(rank AS INTEGER) AS rank, term, doc_freq FROM r WHERE rank <= 12""")
 def prefix_top12(spark, sf_dir):
     return suggesting.prefix_table(index_of(spark, sf_dir).terms)
@@ -486,14 +507,15 @@ def html_escape(spark, sf_dir):
 
 def _html_sql() -> str:
     text = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
-    for tag in markup.DROPPED:
+    for tag in ("script", "style", "noscript", "nav", "footer", "header"):
         text = f"regexp_replace({text}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
     return text
 
 
 def _decoded_sql(text: str) -> str:
-    for name, raw in markup.ENTITIES:
-        text = f"replace({text}, '{name}', '{raw.replace(chr(39), chr(39) * 2)}')"
+    """The entities that stand in the test tables, and some more; the ampersand last."""
+    for name, raw in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{raw}')"
     return text
 
 
@@ -532,12 +554,13 @@ def positions_json(spark, sf_dir):
 
 
 @query(""", r AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, '/' || regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1) AS path FROM pages)
-  SELECT page_id FROM r WHERE page_id % 5 > 0 AND host IN (SELECT host FROM r WHERE page_id % 5 > 0) AND path NOT LIKE '/p%' """)
+  SELECT page_id FROM r WHERE host IN (SELECT host FROM r WHERE page_id % 5 > 0) AND (path LIKE '/p1%' OR path NOT LIKE '/p%') """)
 def robots_allowed(spark, sf_dir):
-    """Every known host disallows /p; hosts without rules would be denied."""
-    pages = web_pages(spark, sf_dir).filter("page_id % 5 > 0")
-    rules = pages.select(F.expr("try_parse_url(url, 'AUTHORITY')").alias("host"), F.lit("/p").alias("prefix")).distinct()
-    return crawling.allowed(pages.select("page_id", "url"), rules).select("page_id")
+    """Hosts of four fifths of the pages have a robots file, which lets /p1 and disallows /p; other hosts are denied."""
+    pages = web_pages(spark, sf_dir)
+    body = F.lit("User-agent: *\nAllow: /p1\nDisallow: /p\n\nUser-agent: other\nDisallow: /\n")
+    files = pages.filter("page_id % 5 > 0").select(F.expr("try_parse_url(url, 'AUTHORITY')").alias("host"), body.alias("body")).distinct()
+    return crawling.allowed(pages.select("page_id", "url"), crawling.robots_rules(files, "skarn")).select("page_id")
 
 
 @query(" SELECT page_id FROM pages WHERE page_id % 4 > 0 AND page_id % 3 > 0")
@@ -550,21 +573,43 @@ def pages_admitted(spark, sf_dir):
 def crawl_levels(spark, sf_dir):
     """Breadth-first levels over a binary tree of links."""
     at = F.col("page_id")
-    link = F.concat(F.lit('<a href="'), (at * 2 + 1).cast("string"), F.lit('">l</a><a href="/'), (at * 2 + 2).cast("string"), F.lit('#x">r</a>'))
-    tree = web_pages(spark, sf_dir).select(F.concat(F.lit("https://h.example/"), at.cast("string")).alias("url"), link.alias("html"))
-    return crawling.crawl_levels(tree, "https://h.example/0", max_pages=1_000_000_000)
+    return crawling.crawl(_link_tree(spark, sf_dir), "https://h.example/0", max_pages=1_000_000_000)[0]
+
+
+def _link_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("page_id")
+    link = F.concat(F.lit('<a href="'), (at * 2 + 1).cast("string"), F.lit('">l</a><a href=/'), (at * 2 + 2).cast("string"), F.lit("#x>r</a>"), F.lit("<p>" + "some text " * 12 + "</p>"))
+    return web_pages(spark, sf_dir).select(at, F.concat(F.lit("https://h.example/"), at.cast("string")).alias("url"), link.alias("html"))
+
+
+@query(""", e AS (SELECT page_id, CASE WHEN page_id % 11 = 5 THEN 403 WHEN page_id % 13 = 6 THEN 404 ELSE 200 END AS status, page_id % 17 = 7 AS bare FROM pages
+), lv(page_id, status, saved) AS (SELECT page_id, status, status = 200 AND NOT bare FROM e WHERE page_id = 0 UNION ALL
+  SELECT e.page_id, e.status, e.status = 200 AND NOT bare FROM lv, (VALUES (1), (2)) v(k), e WHERE saved AND e.page_id = lv.page_id * 2 + k
+) SELECT 'https://h.example/' || page_id AS url, CAST(status AS INTEGER) AS status FROM lv""")
+def crawl_fetch_log(spark, sf_dir):
+    """Every visit of a crawl: pages that are forbidden, missing or too short are logged, but not followed."""
+    at = F.col("page_id")
+    tree = _link_tree(spark, sf_dir).withColumn("status", F.when(at % 13 == 6, 404).otherwise(200))
+    tree = tree.withColumn("html", F.when(at % 17 == 7, "<p>too short</p>").otherwise(F.col("html")))
+    rules = tree.filter(at % 11 == 5).select(F.lit("h.example").alias("host"), F.concat(F.lit("/"), at.cast("string")).alias("prefix"), F.lit(False).alias("allow"), F.lit(1).alias("ord"))
+    # a longer path that begins with a forbidden one is let by a rule before it
+    rules = rules.union(tree.filter(at % 11 != 5).select(F.lit("h.example"), F.concat(F.lit("/"), at.cast("string")), F.lit(True), (-F.length(at.cast("string"))).alias("ord")))
+    rules = rules.withColumn("ord", -F.length("prefix"))
+    return crawling.crawl(tree, "https://h.example/0", max_pages=1_000_000_000, rules=rules)[1]
 
 
 _UPSERT_SQL = """, old AS (SELECT page_id, url, 'old' AS title, TIMESTAMP '2024-01-01' AS crawled_at FROM pages WHERE page_id % 3 > 0
-), new AS (SELECT NULL AS page_id, url, 'new' AS title, TIMESTAMP '2024-02-01' AS crawled_at FROM pages WHERE page_id % 3 < 2 AND page_id % 3 > 0)"""
+), new AS (SELECT NULL AS page_id, url, 'new' AS title, TIMESTAMP '2024-02-01' AS crawled_at FROM pages WHERE page_id % 3 < 2)"""
 
 
-@query(_UPSERT_SQL + " SELECT url, min(page_id) AS page_id, arg_max(title, crawled_at) AS title FROM (FROM old UNION ALL FROM new) GROUP BY url")
+@query(_UPSERT_SQL + " SELECT url, min(page_id) IS NOT NULL AS known, min(page_id) AS page_id, arg_max(title, crawled_at) AS title FROM (FROM old UNION ALL FROM new) GROUP BY url")
 def upsert_latest(spark, sf_dir):
     pages = web_pages(spark, sf_dir)
     old = pages.filter("page_id % 3 > 0").select("page_id", "url", F.lit("old").alias("title"), F.lit("2024-01-01").cast("timestamp").alias("crawled_at"))
-    new = pages.filter("page_id % 3 = 1").select("url", F.lit("new").alias("title"), F.lit("2024-02-01").cast("timestamp").alias("crawled_at"))
-    return crawling.upsert(old, new, key="url").select("url", "page_id", "title")
+    new = pages.filter("page_id % 3 < 2").select("url", F.lit("new").alias("title"), F.lit("2024-02-01").cast("timestamp").alias("crawled_at"))
+    out = crawling.upsert(old, new, key="url").join(old.select("url", F.lit(True).alias("known")).distinct(), "url", "left")
+    # ids of new urls are hashes
+    return out.select("url", F.coalesce("known", F.lit(False)).alias("known"), F.when(F.col("known"), F.col("page_id")).alias("page_id"), "title")
 
 
 @query(" SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
@@ -575,10 +620,10 @@ def dedupe_edges(spark, sf_dir):
     return crawling.insert_ignore(old, edges, ["src", "dst"])
 
 
-@query(" SELECT DISTINCT url FROM (SELECT url FROM pages WHERE page_id % 2 = 0) WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+@query(" SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
 def anti_visited(spark, sf_dir):
     pages = web_pages(spark, sf_dir)
-    return crawling.frontier(pages.filter("page_id % 2 = 0").select(F.col("url").alias("link")), pages.filter("page_id % 3 = 0"))
+    return crawling.frontier(pages.select(F.col("url").alias("link")), pages.filter("page_id % 3 = 0"))
 
 
 @query(", chat AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM conversations) SELECT term, count(DISTINCT conv_id * 1000 + turn) AS doc_freq FROM chat WHERE term NOT IN (" + _STOP + ") GROUP BY term")

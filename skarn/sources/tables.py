@@ -1,11 +1,14 @@
 """Reading inputs and storing tables as Parquet.
 
-A table is a folder of Parquet versions and a pointer to the current one, so that a reader sees the
-old table or the new one, never half of one, and a rewrite may read what it replaces.
+A table is a folder of Parquet versions and one of markers, empty files named by time and version. The
+last marker names the current version. A marker is made whole or not at all and none is ever written
+over, so a reader sees the old table or the new one, never half of one, and a rewrite may read what it
+replaces. The version before the current one stays for readers that began with it; older ones go.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -61,14 +64,17 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.path}/{name}/current"
+    def _versions(self, name: str) -> list[tuple[str, str]]:
+        """Marker and version, the current one last."""
+        fs, folder = self._file(f"{self.path}/{name}/current")
+        if not fs.exists(folder):
+            return []
+        markers = sorted(f.getPath().getName() for f in fs.listStatus(folder))
+        return [(m, m.split("-", 1)[1]) for m in markers]
 
     def _version(self, name: str) -> str | None:
-        fs, pointer = self._file(self._pointer(name))
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(self._pointer(name)).first()[0]
+        found = self._versions(name)
+        return found[-1][1] if found else None
 
     def _file(self, path: str):
         jvm = self.spark._jvm
@@ -89,10 +95,12 @@ class Store:
         """Replaces a table. Rows come as they are partitioned and sorted, so sorted keys keep statistics tight."""
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}/{version}")
-        fs, pointer = self._file(self._pointer(name))
-        out = fs.create(pointer, True)
-        out.write(bytearray(version.encode()))
-        out.close()
+        before = self._versions(name)
+        fs, marker = self._file(f"{self.path}/{name}/current/{time.time_ns():020d}-{version}")
+        fs.create(marker, False).close()
+        for old, gone in before[:-1]:
+            for path in (f"{self.path}/{name}/{gone}", f"{self.path}/{name}/current/{old}"):
+                fs.delete(self._file(path)[1], True)
         return self.table(name)
 
     def append(self, name: str, df: DataFrame) -> DataFrame:

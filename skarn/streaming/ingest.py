@@ -17,7 +17,7 @@ def ingest_pages(fetched: DataFrame, store: Store, checkpoint: str):
 
     def batch(rows: DataFrame, _: int) -> None:
         rows = rows.persist()
-        pages = crawling.extract_pages(rows).join(rows.groupBy("url").agg(F.max("crawled_at").alias("crawled_at")), "url")
+        pages = crawling.extract_pages(rows, keep=("crawled_at",))  # each version of a page with its own time
         store.overwrite("pages", crawling.upsert(store.table("pages"), pages))
         edges = crawling.link_edges(crawling.extract_links(rows))
         store.overwrite("crawl_edges", crawling.insert_ignore(store.table("crawl_edges"), edges, ["source_url_hash", "target_url_hash"]))

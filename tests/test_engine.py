@@ -83,7 +83,7 @@ def test_settings(spark):
 def test_corrections_of_the_survey(spark):
     index = searching.build_index(tables.document_pages(tables.read(spark, "/root/testdata/sf0.01", "documents")).withColumn("title", F.lit("")))
     tokens = ["tiom", "oueautoin", "onrene", "onreem", "tionn", "thouinro", "zzzz", "qrxv", "during", "against"]
-    got = {r.token: (r.term, r.distance) for r in spelling.correct_tokens(spelling.token_rows(spark, tokens), index.terms).collect()}
+    got = {r.token: (r.term, r.distance) for r in spelling.correct_tokens(spelling.token_rows(spark, tokens), index.terms, index.grams).collect()}
     assert got == {"tiom": ("tion", 1), "oueautoin": ("oueaution", 1), "onrene": ("onrend", 1), "onreem": ("onreed", 1), "tionn": ("tionnt", 1), "thouinro": ("thouinre", 1)} | {t: (t, None) for t in tokens[6:]}
     assert index.terms.count() == 53918 and index.postings.count() == 216845
     assert [r.term for r in suggesting.suggest_positional(index.terms, "x" * 2).collect()] == [] and suggesting.suggest_positional(index.terms, "t").count() == 0
@@ -93,3 +93,16 @@ def test_distance():
     from skarn.functions.spelling import edit_distance
 
     assert [edit_distance(*p) for p in (("ca", "abc"), ("ab", "ba"), ("", "ab"), ("kitten", "sitting"), ("a", "a"))] == [2, 1, 2, 3, 0]
+
+
+def test_command_lines(spark, tmp_path):
+    from skarn.__main__ import main
+
+    text = "<title>Dogs</title><p>" + "lazy dogs " * 15 + "</p>"
+    rows = [("http://h/1", text + '<a href="/2">n</a>'), ("http://h/2", text)]
+    spark.createDataFrame(rows, "url string, html string").withColumn("crawled_at", F.current_timestamp()).write.parquet(str(tmp_path / "in"))
+    store = ["--store", str(tmp_path / "store")]
+    assert main(["crawl", *store, "--fetched", str(tmp_path / "in"), "--seed", "http://h/1", "--max", "1"]) == {"saved": 1, "visited": 1}
+    assert main(["crawl", *store, "--fetched", str(tmp_path / "in"), "--seed", "http://h/1", "--refresh-existing"])["saved"] == 2
+    assert main(["index", *store])["pages"] == 2
+    assert main(["search", *store, "--limit", "1", "dogs"])["total"] == 2

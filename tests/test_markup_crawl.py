@@ -63,15 +63,51 @@ def test_upsert_and_frontier(spark):
 
 def test_crawl_levels(spark):
     def page(links):
-        return "".join(f'<a href="{x}">l</a>' for x in links)
+        return "".join(f'<a href="{x}">l</a>' for x in links) + "<p>" + "enough words " * 10 + "</p>"
 
     pages = spark.createDataFrame([("http://h/1", page(["2", "3"])), ("http://h/2", page(["4", "1"])), ("http://h/3", page(["4", "9"])), ("http://h/4", page([]))], "url string, html string")
-    got = {(r.url[-1], r.level) for r in crawling.crawl_levels(pages, "http://h/1").collect()}
+    got = {(r.url[-1], r.level) for r in crawling.crawl(pages, "http://h/1")[0].collect()}
     assert got == {("1", 0), ("2", 1), ("3", 1), ("4", 2)}
-    assert crawling.crawl_levels(pages, "http://h/1", max_pages=2).count() == 2
+    assert crawling.crawl(pages, "http://h/1", max_pages=2)[0].count() == 2
     known = pages.filter("url = 'http://h/1'")
-    assert crawling.crawl_levels(pages, "http://h/1", existing=known).count() == 0
-    assert crawling.crawl_levels(pages, "http://h/1", existing=known, refresh=True).count() == 4
+    assert crawling.crawl(pages, "http://h/1", existing=known)[0].count() == 0
+    assert crawling.crawl(pages, "http://h/1", existing=known, refresh=True)[0].count() == 4
+
+
+def test_only_saved_pages_count_and_are_followed(spark):
+    text = "<p>" + "enough words " * 10 + "</p>"
+    rows = [("http://h/1", f'<a href="/2">a</a><a href="/3">b</a><a href=/4>c</a>{text}', 200, "text/html"), ("http://h/2", '<a href="/5">short</a>', 200, "text/html"), ("http://h/3", text, 500, "text/html"), ("http://h/4", text + '<a href="/6">d</a>', 200, "text/html; charset=utf-8"), ("http://h/5", text, 200, "text/html"), ("http://h/6", text, 200, "text/html")]
+    fetched = spark.createDataFrame(rows, "url string, html string, status int, content_type string")
+    levels, log = crawling.crawl(fetched, "http://h/1", max_pages=3)
+    assert {(r.url[-1], r.level) for r in levels.collect()} == {("1", 0), ("4", 1), ("6", 2)}
+    assert {(r.url[-1], r.status) for r in log.collect()} == {("1", 200), ("2", 200), ("3", 500), ("4", 200), ("6", 200)}
+    rules = crawling.robots_rules(spark.createDataFrame([("h", "User-agent: *\nAllow: /\nDisallow: /4"), ("k", "")], "host string, body string"))
+    assert crawling.crawl(fetched, "http://h/1", rules=rules)[0].count() == 3
+    rules = crawling.robots_rules(spark.createDataFrame([("h", "User-agent: bot\nDisallow: /4\n\nUser-agent: *\nDisallow: /")], "host string, body string"), "bot/1.0")
+    levels, log = crawling.crawl(fetched, "http://h/1", rules=rules)
+    assert levels.count() == 1 and ("http://h/4", 403) in {(r.url, r.status) for r in log.collect()}
+
+
+def test_crawl_into_the_store(spark, tmp_path):
+    from skarn.plans.engine import SearchEngine
+
+    text = "<title>Dogs</title><p>" + "lazy dogs " * 15 + "</p>"
+    fetched = spark.createDataFrame([("http://h/1", text + '<a href="/2">n</a>'), ("http://h/2", text)], "url string, html string").withColumn("crawled_at", F.current_timestamp())
+    engine = SearchEngine(spark, str(tmp_path))
+    assert engine.crawl(fetched, "http://h/1") == {"saved": 2, "visited": 2}
+    assert engine.crawl(fetched, "http://h/1") == {"saved": 0, "visited": 2}
+    engine.build(engine.store.table("pages"))
+    assert engine.metrics()["crawl_attempts"] == 2 and engine.search("dogs")["total"] == 2
+    assert engine.store.table("page_rank").agg(F.sum("in_links")).first()[0] == 1
+
+
+def test_entities(spark):
+    import html
+
+    texts = ["a &lt;b&gt; &amp;lt; &#38;lt; &#x41;&#233;&#x1F600; &eacute;&hellip; &nope; &amp;amp; &#0; &#xD800; & x", "", None, "&copy;&copy;&notin;&not;"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", markup._decoded(F.col("t")).alias("s")).collect()}
+    assert got == {i: html.unescape(t) if t is not None else None for i, t in enumerate(texts)}
 
 
 def test_stream(spark, tmp_path):
@@ -90,6 +126,11 @@ def test_stream(spark, tmp_path):
         if k:
             assert page[0].page_id == first
         first = page[0].page_id
+    rows = [("http://h/two", body.replace("word", w), t) for w, t in (("newer", "2024-02-02 00:00:00"), ("older", "2024-02-01 00:00:00"))]
+    spark.createDataFrame(rows, "url string, html string, t string").selectExpr("url", "html", "timestamp(t) AS crawled_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.ingest_pages(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "cp")).awaitTermination(120)
+    two = store.table("pages").filter("url = 'http://h/two'").collect()
+    assert len(two) == 1 and "newer" in two[0].body_text and two[0].crawled_at.day == 2
     table = spark.createDataFrame([("2024-01-01 00:10:00", 200), ("2024-01-01 00:50:00", 200), ("2024-01-01 01:10:00", 0)], "t string, status int").selectExpr("timestamp(t) AS crawled_at", "status")
     assert sorted(r.n for r in ingest.hourly_fetches(table).collect()) == [1, 2]
 

@@ -52,3 +52,16 @@ def test_graph_steps_do_not_grow(spark):
     nodes = spark.createDataFrame([(k,) for k in (1, 2, 3)], "page_id long")
     sizes = [len(plan(graph.raw_ranks(edges, nodes, n).select(F.sum("rank")))) for n in (1, 3)]
     assert sizes[0] * 0.8 < sizes[1] < sizes[0] * 1.2
+
+
+def test_enrichment_reads_the_pages_rows_only(index):
+    top = searching.page_of(searching.score_classic(index, ["tion", "er"], indexing.RankingConfig()), 1, 3)
+    assert re.search(r"PushedFilters: \[.*In\((?:page|doc)_id, \[[0-9]+,[0-9]+,[0-9]+\]\)", plan(searching.enrich(index, top, ["tion"])))
+
+
+def test_spelling_reads_stored_grams_only(spark, index):
+    from skarn.operators import spelling
+
+    unknown = spelling.unknown_tokens(spelling.token_rows(spark, ["tiom"]), index.terms)
+    text = plan(spelling.gram_overlap(unknown, index.grams))
+    assert re.search(r"PushedFilters: \[.*In\(gram, \[", text) and "doc_freq" in text and "idf" not in text
