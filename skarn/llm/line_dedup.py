@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-MIN_CHARS = 150
+MIN_CHARS = 40  # shorter runs (headings, single words) are no repeats worth a cut
 ROW = "__row_key"
 
 

@@ -1,6 +1,7 @@
 """Sharding by sampled splitters, to shards of near-equal bytes.
 
-Records are ordered by (hash of the text, doc_id), so that equal texts are neighbours. A size-weighted
+Records are ordered by (hash of the text, hash of doc_id and row), so that equal texts are neighbours and
+any group can be split. A size-weighted
 sample of keys, of bounded size, gives quantile splitters; records are range-partitioned by them, and
 ranges that came out overfull are subdivided by samples of their own. Inside ranges a window gives
 exact running sizes, sums of ranges give exact offsets, and a record's shard follows from the exact
@@ -8,10 +9,10 @@ position of its middle byte. So shards differ by about one record whatever the s
 only balances the work.
 
 A group of equal texts of at most SNAP of a shard's bytes that a shard boundary would cut goes whole
-to the shard of its middle; larger groups are cut, in order of doc_id.
+to the shard of its middle; larger groups are cut where the boundary falls.
 
-Null texts have size 1 (no bytes, plus one). Null ids come first in their group. Repeated rows keep
-separate slots. An empty table gives no rows. Only doc_id and text are read.
+Null texts have size 1 (no bytes, plus one). Ids may be null and of any type; only their hash is used.
+Repeated rows keep separate slots. A text of any length is one record. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ ROUNDS = 4
 
 def keyed(docs: DataFrame) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"))
+    return docs.select("doc_id", (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("h"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("d"))
 
 
 def weighted_sample(records: DataFrame, n: int) -> list[tuple[int, int]]:
@@ -56,7 +57,7 @@ def with_range(records: DataFrame, splitters: list[tuple[int, int]]) -> DataFram
         x, y = a.to_numpy(), b.to_numpy()
         out = np.searchsorted(h, x, "left")
         tied = np.flatnonzero(np.isin(x, cut_h))
-        for i, value in enumerate(cut_h):  # splitters may cut one large group by doc_id
+        for i, value in enumerate(cut_h):  # splitters may cut one large group
             at = tied[x[tied] == value] if len(tied) else tied
             if len(at):
                 last = first[i + 1] if i + 1 < len(first) else len(h)

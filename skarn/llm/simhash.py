@@ -7,12 +7,13 @@ candidates together, and the full distance is verified. Candidates of a key are
 within a key, a search takes the not yet reached fingerprints at once and emits a spanning forest of
 the links. Keys of more than LARGE fingerprints are split again by variants of the other segment.
 
-Documents are joined to distinct fingerprints only; groups are formed by alternating large and small
+Links are those of distinct fingerprints, which are the nodes; groups are formed by alternating large and small
 stars, each round a table in the shared folder. Nothing of the corpus comes to the driver but counts.
 
 Null and empty texts have the fingerprint zero and link like others. Texts of fewer than the shingle's
-words are one shingle. Repeated rows and ids fall into one group. Rows of null id take part; a group
-of null ids only has a null component. An empty table gives no rows. Only doc_id and text are read.
+words are one shingle; texts of any length are hashed whole. Ids may be of any type that has an order.
+Rows that share an id are grouped each by its own text. Rows of null id take part; a group of null ids
+only has a null component. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from .common import U64, text_blocks, written
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 SMALL, LARGE = 64, 20_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_NO_ID = 1 << 62  # nodes of fingerprints that only rows without id have
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -176,25 +176,9 @@ def components(edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
-    own = F.col("fp").bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")).select("fp", F.coalesce("node", own).alias("node")), "distinct")
-    roots = components(links(distinct))
-    named = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("c"))
-    named = named.select("fp", F.when(F.col("c") < _NO_ID, F.col("c")).alias("component_id"))
+    ids = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")  # a row for each fingerprint
+    roots = components(links(ids.select("fp", F.col("fp").alias("node"))))
+    named = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Rows of docs but near copies: of each group the row of the smallest id stays, once.
-
-    Of groups without any id, one row of each fingerprint stays.
-    """
-    found = written(groups(docs, shingle), "groups")
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bare = found.filter(F.col("doc_id").isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
-    if bare.isEmpty():
-        return kept
-    print_of = F.udf(lambda t: f"{fingerprint((t or '').encode(), shingle):016x}")
-    loose = docs.filter(F.col("doc_id").isNull()).withColumn("__print", print_of("text")).join(bare.withColumnRenamed("fingerprint", "__print"), "__print", "left_semi")
-    return kept.unionByName(loose.dropDuplicates(["__print"]).drop("__print"))

@@ -1,17 +1,18 @@
 """Toxicity by multiple-instance learning: a document is toxic if one of its sentences is.
 
-A sentence's score is logistic in hashed weights of its words and word beginnings; a document's is
-the noisy-or of its sentences, 1 - prod(1 - p), in which sentences without any feature that speaks
-for toxicity count little, however many there are. Weights are trained from document labels alone, through the noisy-or, so that blame
-falls on the sentences that tell toxic documents from clean ones; these can then be located.
+A sentence's score is logistic in hashed weights of its words and word beginnings; a document's is the
+noisy-or of its sentences, 1 - prod(1 - p). Weights are trained from document labels alone, through the
+same noisy-or over all sentences, so that blame falls on the sentences that tell toxic documents from
+clean ones; these can then be located.
 
 The classifier is fitted on a bounded sample: at most SAMPLE_DOCS labelled rows, those of the smallest
-hash of doc_id among texts of at most SAMPLE_TEXT characters. Scoring reads every whole text.
+hash of doc_id, and of these the texts of at most SAMPLE_TEXT characters. Scoring reads every whole text.
 
 Null and empty texts have no sentence and score 0. Rows without a label, or with a null label or id,
-teach nothing but are scored. Of repeated labels of one id, toxic (1) holds. An empty table, or one
-with labels of one kind only, gives a model that marks nothing. Only doc_id and text are read from
-documents, and doc_id and toxic from labels, so other columns cannot clash.
+teach nothing but are scored. Of repeated labels of one id, toxic (1) holds. Repeated document rows each
+teach and are each scored; equal texts have equal scores. An empty table, or one with labels of one kind
+only, gives a model that marks nothing. Only doc_id and text are read from documents, and doc_id and
+toxic from labels, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -25,15 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, crc_bucket, prefix_hash, range_hash, text_blocks, with_fields, word_ranges, written
 
-SAMPLE_DOCS, SAMPLE_TEXT = 8000, 60_000
+SAMPLE_DOCS, SAMPLE_TEXT = 8000, 20_000
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 STEMS = (4, 5, 6, 7, 8)  # bytes of a word's beginning that are features beside the word
-STEPS, RATE, SHRINK = 60, 0.05, 2e-4
-# Sentences without any feature that speaks for toxicity: share of their evidence that counts, and the
-# most that all of a document's can count; they rank documents but never make one toxic.
-QUIET, QUIET_MOST = 0.3, 0.05
-SIGMAS, START_BIAS = 2.5, -4.0  # features whose log-odds are within so many deviations of 0 stay out
+STEPS, RATE, SHRINK = 200, 0.05, 5e-5
+SIGMAS, START_BIAS = 2.5, -6.0  # features whose log-odds are within so many deviations of 0 stay out
 
 _GAP = np.ones(256, bool)
 _GAP[48:58] = _GAP[97:123] = _GAP[128:] = False
@@ -63,25 +61,14 @@ def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Model:
     weights: np.ndarray
     bias: float
-    alerts: np.ndarray  # features that speak for toxicity
 
     def evidence(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """-log(1 - p) of each sentence, were it the only one."""
+        """-log(1 - p) of each sentence; a document's is the sum of its sentences'."""
         return np.logaddexp(0, np.add.reduceat(self.weights[buckets], first) + self.bias) if len(first) else np.zeros(0)
 
-    def totals(self, evidence: np.ndarray, loud: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        """-log(1 - p) of each row: all of its loud sentences; of the others a share, within a bound."""
-        quiet = QUIET * np.bincount(row, np.where(loud, 0, evidence), n)
-        return np.bincount(row, np.where(loud, evidence, 0), n) - QUIET_MOST * np.expm1(-quiet / QUIET_MOST)
-
-
-def alerted(alerts: np.ndarray, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sentences with some feature that speaks for toxicity."""
-    return np.add.reduceat(alerts[buckets], first, dtype=np.int32) > 0 if len(first) else np.zeros(0, bool)
-
 
 def silent() -> Model:
-    return Model(np.zeros(BUCKETS), -40.0, np.zeros(BUCKETS, bool))
+    return Model(np.zeros(BUCKETS), -40.0)
 
 
 def train(column: np.ndarray, sentence: np.ndarray, doc: np.ndarray, labels: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
@@ -136,18 +123,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
         return silent()
     place = np.full(BUCKETS, -1, np.int32)
     place[names] = np.arange(len(names))
-    alerts = np.zeros(BUCKETS, bool)
-    alerts[names[start > 0]] = True
 
     def features(batches):
         for rows, data, offs in text_blocks(batches):
             buckets, first, row, _ = sentences(data, offs)
-            use = alerted(alerts, buckets, first)
             of = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(buckets)]])))
             column = place[buckets]
-            kept = (column >= 0) & use[of]
-            column, row = column[kept], row[use]
-            sentence = (np.cumsum(use) - 1)[of[kept]]
+            kept = column >= 0
+            column, sentence = column[kept], of[kept]
             heads = np.searchsorted(row, np.arange(len(rows) + 1))
             cuts = np.searchsorted(sentence, heads)
             rel = (sentence - np.repeat(heads[:-1], np.diff(cuts))).astype(np.int32)
@@ -164,12 +147,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     got = sorted(texts.mapInArrow(features, "label int, sentences long, columns binary, within binary").collect())  # SAMPLE_DOCS rows
     per_doc = np.array([r.sentences for r in got], np.int64)
     columns = [np.frombuffer(r["columns"], np.int32) for r in got]
-    base = np.repeat(np.cumsum(per_doc) - per_doc, [len(x) for x in columns])
+    base = np.repeat((np.cumsum(per_doc) - per_doc).astype(np.int32), [len(x) for x in columns])
     sentence = base + np.concatenate([np.frombuffer(r.within, np.int32) for r in got])
     weights, bias = train(np.concatenate(columns), sentence, np.repeat(np.arange(len(got)), per_doc), np.array([r.label for r in got]), start)
     out = np.zeros(BUCKETS)
     out[names] = weights
-    return Model(out, bias, alerts)
+    return Model(out, bias)
 
 
 def score(model: Model, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", at_least: float = 0.5) -> DataFrame:
@@ -185,9 +168,9 @@ def score(model: Model, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), te
         model = shared.value
         for rows, data, offs in text_blocks(batches, name):
             buckets, first, row, ranges = sentences(data, offs)
-            evidence, loud = model.evidence(buckets, first), alerted(model.alerts, buckets, first)
-            scores = -np.expm1(-model.totals(evidence, loud, row, len(rows)))
-            p = np.where(loud, -np.expm1(-evidence), 0.0)
+            evidence = model.evidence(buckets, first)
+            scores = -np.expm1(-np.bincount(row, evidence, len(rows)))
+            p = -np.expm1(-evidence)
             found: list[list[dict]] = [[] for _ in range(len(rows))]
             for s in np.flatnonzero(p >= at_least):
                 a, b = ranges[s] - offs[row[s]]

@@ -1,10 +1,10 @@
 import pytest
 
 import corpus_pipeline
-from skarn.llm import decontamination, simhash, toxicity
+from skarn.llm import decontamination, line_dedup, near_copies, toxicity
 
 from .test_line_dedup import brute as brute_lines
-from .test_simhash import brute_groups
+from .test_near_copies import brute_first
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,13 +19,12 @@ def test_stages_against_brute_force(spark):
     got = corpus_pipeline.reject_toxic(spark, docs, SF).cache()
     assert {r.doc_id: r.text for r in got.collect()} == expected and got.columns == docs.columns
 
-    expected = {i: t for i, (_, _, t) in brute_lines(sorted(expected.items()), 150).items()}
+    expected = {i: t for i, (_, _, t) in brute_lines(sorted(expected.items()), line_dedup.MIN_CHARS).items()}
     got = corpus_pipeline.remove_repeated_lines(spark, got, SF).cache()
     assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {i: (t, len(t)) for i, t in expected.items()}
 
     ids = sorted(expected)
-    roots = brute_groups([simhash.fingerprint(expected[i].encode()) for i in ids])
-    expected = {ids[r]: expected[ids[r]] for r in set(roots)}
+    expected = {ids[k]: expected[ids[k]] for k in brute_first([expected[i] for i in ids])}
     got = corpus_pipeline.keep_one_of_near_copies(spark, got, SF).cache()
     assert {r.doc_id: r.text for r in got.collect()} == expected
 
@@ -42,7 +41,7 @@ def test_stages_against_brute_force(spark):
 
 def test_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c", "x"), (None, "a b c", "x"), (2, "other words here", "x"), (3, "other words here", "x")], "doc_id long, text string, lang string")
-    assert sorted((str(r.doc_id), r.text) for r in simhash.one_of_each(docs).collect()) == [("2", "other words here"), ("None", "a b c")]
+    assert sorted((str(r.doc_id), r.text) for r in near_copies.one_of_each(docs).collect()) == [("2", "other words here"), ("None", "a b c")]
 
 
 @pytest.mark.parametrize("max_bytes", [1 << 20, 200])

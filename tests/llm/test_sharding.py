@@ -37,3 +37,15 @@ def test_few_and_no_rows(spark):
     assert sharding.shard_by_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = sharding.shard_by_bytes(spark.createDataFrame([(None, None), (3, "abc")], "doc_id long, text string")).collect()
     assert sorted((r.size, r.doc_id) for r in rows) == [(1, None), (4, 3)]
+
+
+def test_against_a_plain_placement(spark):
+    """Shards follow from the middle byte of each record in the order of ranges; ids of any type, and repeated rows."""
+    rows = [(f"k{i % 300}", f"t{i // 3} " * (i % 40)) for i in range(900)] + [(None, "same text")] * 400
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id string, text string").repartition(4), shards=5, ranges=7).collect()
+    assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(i), len(t.encode()) + 1) for i, t in rows)
+    per = sum(r.size for r in got) / 5
+    sums = [sum(r.size for r in got if r.shard == s) for s in range(5)]
+    assert max(abs(n - per) for n in sums) <= 2 * max(r.size for r in got) + 2 * sharding.SNAP * per
+    for s in range(5):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))

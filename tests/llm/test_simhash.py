@@ -49,7 +49,6 @@ def test_against_brute_force(spark):
     roots = brute_groups(fps)
     assert [int(got[i].fingerprint, 16) for i in range(len(texts))] == fps
     assert [got[i].component_id for i in range(len(texts))] == roots
-    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(roots))
 
 
 def test_links_of_planted_bits(spark):
@@ -95,3 +94,11 @@ def test_empty_and_null_ids(spark):
     assert simhash.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = simhash.groups(spark.createDataFrame([(None, "a b c"), (4, None), (None, "")], "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.component_id) for r in rows), key=str) == sorted([(None, None), (4, 4), (None, 4)], key=str)
+
+
+def test_ids_of_other_types_and_long_texts(spark):
+    long = "one two three four " * 80_000  # above a block of text
+    rows = [("b", "x y z a"), ("a", "x y z a"), ("c", long), ("d", long), ("d", "other words")]
+    got = {(r.doc_id, r.component_id) for r in simhash.groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("d", "d")}
+    assert int(next(iter(simhash.groups(spark.createDataFrame(rows[2:3], "doc_id string, text string")).collect())).fingerprint, 16) == brute_print(long)
