@@ -35,7 +35,7 @@ from .common import written
 
 FIT_ROWS, BRANCHES, LEAF_ROWS = 20_000, 8, 64
 CALIBRATION, TARGET_RECALL = 96, 0.95
-BLOCK_ROWS, QUERY_ROWS = 2048, 4096
+BLOCK_ROWS, QUERY_ROWS = 1 << 15, 1024  # of large blocks, few of a query's rows are not among its best
 _STATE = 7
 
 
@@ -54,10 +54,11 @@ def k_best(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.nd
     """
     out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     norm = np.sqrt((vectors**2).sum(1)).max(initial=0)
-    for a in range(0, len(queries) if len(ids) else 0, 256):
-        some = queries[a : a + 256]
+    chunk = max(16, (1 << 21) // max(1, len(ids)))
+    for a in range(0, len(queries) if len(ids) else 0, chunk):
+        some = queries[a : a + chunk]
         rough = some @ vectors.T
-        rough[own[a : a + 256, None] == ids] = -np.inf
+        rough[own[a : a + chunk, None] == ids] = -np.inf
         if allowed is not None:
             rough[~allowed(a, a + len(some))] = -np.inf
         slack = 1e-15 * (queries.shape[1] + 8) * norm * np.sqrt((some**2).sum(1))  # more than rounding can differ
