@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import text_blocks, with_fields, written
 
-MAX_BYTES = 48 << 20  # of window text in one automaton
+MAX_BYTES = 6 << 20  # of window text in one automaton, which takes some 50 times as much memory in each worker
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 #: Lower-cases A-Z and blanks what no word holds, byte by byte.
