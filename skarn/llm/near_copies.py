@@ -1,15 +1,20 @@
-"""Near copies by exact Jaccard similarity of word shingles: every pair of at least SIMILAR, none missed.
+"""Near copies: SimHash brings word shingle sets together, exact Jaccard similarity decides, no pair of SIMILAR is missed.
 
-A text is its set of shingles of WIDTH words, as 64-bit hashes in ascending order. Whatever the order,
-two sets of n and m shingles that reach 4/5 share one of the first n - ceil(4n/5) + 1 of the one and of
-the other (prefix filtering), so these are the keys under which sets are brought together; no pair
-depends on chance. Common shingles come last in the order, so that a passage that very many texts share
-is no key of texts that hold more than it. Which are common is counted in a share of the sets; it decides
-about work only.
+A text is its set of shingles of WIDTH words, as 64-bit hashes in ascending order.
+
+1. Each set has a fingerprint (`simhash.majority` of its shingles). Fingerprints of at most DISTANCE
+   bits share a deletion variant of one of SEGMENTS segments; such sets are linked if their similarity is at
+   least 4/5, which the sets themselves decide. Connected sets are a group.
+2. Fingerprints promise nothing about pairs, so an exact way links what is left between groups. Whatever
+   the order of shingles, two sets of n and m shingles that reach 4/5 share one of the first
+   n - ceil(4n/5) + 1 of the one and of the other (prefix filtering). Sets of one group are not compared
+   again. Common shingles come last in the order, so that a passage that very many texts share
+   is no key of texts that hold more than it. Which are common is counted in a share of the sets; it decides
+   about work only.
 
 Within a key pairs are never written out: a search takes what the reached set is similar to and emits
-links of a spanning forest. A pair is compared by size, then by parity bitmaps, whose differing bits
-never exceed the differing shingles, and what is left by the sets themselves.
+links of a spanning forest. A pair of the second step is compared by size, then by parity bitmaps, whose
+differing bits never exceed the differing shingles, and what is left by the sets themselves.
 
 Sets stand once for each task and text in files of the shared folder, which workers map; a set's name
 is its place there. Groups are formed as in simhash. Words are bytes between blanks, ASCII letters
@@ -27,10 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, U64, MappedTable, mapped_folder, mix, part_of, prefix_hash, range_hash, text_blocks, word_ranges, written
-from .simhash import components
+from .simhash import components, majority, near, variant_keys
 
 WIDTH = 5
 OVER, UNDER = 4, 5  # similarity of near copies, as a fraction
+DISTANCE, SEGMENTS = 7, 4  # bits between fingerprints that meet; at DISTANCE < 2 * SEGMENTS one segment differs in at most one bit
+TOGETHER = 64  # keys of at most so many fingerprints are searched in array operations over all of them
 BITMAP = 16  # words of 64 bits
 SAMPLED, COMMON = 16, 12  # one set in so many is counted; a shingle in more of these comes last
 _AT = 36  # bits of a place inside a file
@@ -70,11 +77,16 @@ def bitmap(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set."""
+    return majority(own[at : at + (1 << 16)] for at in range(0, len(own), 1 << 16))
+
+
 def stored(docs: DataFrame, folder: str) -> DataFrame:
-    """doc_id, row (its hash), set (its name) and place of every row, whose sets are written into the folder."""
+    """doc_id, row (its hash), set (its name), place and fp (fingerprint) of every row, whose sets are written into the folder."""
 
     def run(batches):
-        task, at, places = TaskContext.get().taskAttemptId(), 0, {}
+        task, at, places, prints = TaskContext.get().taskAttemptId(), 0, {}, {}
         with open(f"{folder}/{task}.bin", "wb") as f:
             for rows, data, offs in text_blocks(batches):
                 names = []
@@ -82,12 +94,14 @@ def stored(docs: DataFrame, folder: str) -> DataFrame:
                     names.append(name_of(own))
                     if names[-1] not in places:
                         places[names[-1]] = task << _AT | at
+                        prints[names[-1]] = fingerprint(own)
                         np.concatenate([np.array([len(own)], U64), bitmap(own), own]).tofile(f)
                         at += 1 + BITMAP + len(own)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), pa.array(names, pa.int64()), pa.array([places[x] for x in names], pa.int64())], ["doc_id", "row", "set", "place"])
+                fps = np.array([prints[x] for x in names], U64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), pa.array(names, pa.int64()), pa.array([places[x] for x in names], pa.int64()), pa.array(fps)], ["doc_id", "row", "set", "place", "fp"])
 
     source = docs.select("doc_id", "text", row_hash().alias("row"))
-    return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, set long, place long")
+    return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, set long, place long, fp long")
 
 
 def row_hash() -> Column:
@@ -133,13 +147,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def blocks_of(batches, folder: str):
-    """Places and their sets' shingles, of some sets at once."""
+    """Rows and their sets' shingles, of some sets at once."""
     sets = Sets(folder)
     for batch in batches:
-        own = np.asarray(batch.column("place"))
-        for first in range(0, len(own), 2000):
-            some = own[first : first + 2000]
-            yield some, [sets.at(p) for p in some.tolist()]
+        for first in range(0, len(batch), 2000):
+            some = batch.slice(first, 2000)
+            yield some, [sets.at(p) for p in some.column("place").to_pylist()]
 
 
 def common_shingles(places: DataFrame, folder: str) -> MappedTable:
@@ -170,7 +183,7 @@ def common_shingles(places: DataFrame, folder: str) -> MappedTable:
 
 
 def keys(places: DataFrame, folder: str, common: MappedTable) -> DataFrame:
-    """key and place: each set under the shingles of its prefix."""
+    """key, place and group: each set under the shingles of its prefix."""
 
     def run(batches):
         for some, sets in blocks_of(batches, folder):
@@ -181,9 +194,10 @@ def keys(places: DataFrame, folder: str, common: MappedTable) -> DataFrame:
             rank = np.arange(len(whole)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             kept = order[rank < np.array([prefix(int(n)) for n in sizes])[owner]]
             if len(kept):
-                yield pa.RecordBatch.from_arrays([pa.array(whole[kept].view(np.int64)), pa.array(some[owner[kept]], pa.int64())], ["key", "place"])
+                place, group = (pa.array(np.asarray(some.column(c))[owner[kept]]) for c in ("place", "group"))
+                yield pa.RecordBatch.from_arrays([pa.array(whole[kept].view(np.int64)), place, group], ["key", "place", "group"])
 
-    return places.mapInArrow(run, "key long, place long")
+    return places.mapInArrow(run, "key long, place long, group long")
 
 
 def may_be(sizes: np.ndarray, maps: np.ndarray, size, of) -> np.ndarray:
@@ -199,6 +213,12 @@ class Forest:
     def __init__(self, folder: str):
         self.sets, self.root = Sets(folder), {}
 
+    def grouped(self, places: np.ndarray, groups: np.ndarray) -> None:
+        """Takes places as linked to the least of their group."""
+        some = np.flatnonzero(places != groups)
+        for place, group in zip(places[some].tolist(), groups[some].tolist(), strict=True):
+            self.root.setdefault(place, group)
+
     def find(self, x: int) -> int:
         while (up := self.root.get(x, x)) != x:
             self.root[x] = up = self.root.get(up, up)
@@ -224,16 +244,17 @@ class Forest:
         may = may_be(n, maps, m, others)
         return [x for x in zip(a[may].tolist(), b[may].tolist(), strict=True) if self.joins(*x)]
 
-    def links(self, places: np.ndarray) -> list[tuple[int, int]]:
-        """New links among the places of one key."""
-        sizes, maps = self.sets.heads(places)
+    def links(self, places: np.ndarray, fps: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """New links among the places of one key; if fingerprints are given, only of those that are near."""
+        sizes, maps = self.sets.heads(places) if fps is None else (None, None)
         left, out = np.arange(len(places)), []
         while len(left) > 1:
             todo, left = [int(left[0])], left[1:]
             while todo and len(left):
                 at = todo.pop()
                 taken = []
-                for k in may_be(sizes[left], maps[left], sizes[at], maps[at]).tolist():
+                may = may_be(sizes[left], maps[left], sizes[at], maps[at]) if fps is None else np.flatnonzero(near(fps[left], fps[at], DISTANCE))
+                for k in may.tolist():
                     a, b = int(places[at]), int(places[left[k]])
                     found = self.joins(a, b)
                     if found is not False:
@@ -274,31 +295,78 @@ def links(self, places: list[int]) -> list[tuple[int, int]]:
         return out
 
 
+def whole_keys(batches, names: tuple[str, ...]):
+    """Columns of the rows of whole keys, and where each key begins, with the end; rows come sorted by key, the first column."""
+    rest, whole = [np.zeros(0, np.int64)] * len(names), iter(batches)
+    while True:
+        batch = next(whole, None)
+        if batch is not None:
+            columns = [np.concatenate([r, np.asarray(batch.column(c))]) for r, c in zip(rest, names, strict=True)]
+            key = columns[0]
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        else:
+            columns = rest
+            key, last = rest[0], len(rest[0])
+        rest = [c[last:] for c in columns]
+        if last:
+            yield [c[:last] for c in columns], np.flatnonzero(np.concatenate([[True], key[1:last] != key[: last - 1], [True]]))
+        if batch is None:
+            return
+
+
+def as_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def near_pairs(fps: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of near fingerprints, of keys of at most TOGETHER fingerprints."""
+    n = np.diff(cuts)
+    behind = np.repeat(np.where(n <= TOGETHER, cuts[1:], cuts[:-1]), n) - np.arange(cuts[-1])  # places to the end of the key
+    at, a, b = np.arange(cuts[-1]), [], []
+    for k in range(1, TOGETHER):
+        at = at[behind[at] > k]
+        if not len(at):
+            break
+        hit = at[near(fps[at], fps[at + k], DISTANCE)]
+        a.append(hit)
+        b.append(hit + k)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(none + a), np.concatenate(none + b)
+
+
+def fingerprint_links(prints: DataFrame, folder: str) -> DataFrame:
+    """Links u > v between places of (place, fp): similar sets among those whose fingerprints meet."""
+
+    def run(batches):
+        forest = Forest(folder)
+        for (_, place, fp), cuts in whole_keys(batches, ("key", "place", "fp")):
+            fp = fp.view(U64)
+            a, b = (place[x] for x in near_pairs(fp, cuts))
+            found = forest.pairs(np.maximum(a, b), np.minimum(a, b))
+            for k in np.flatnonzero(np.diff(cuts) > TOGETHER).tolist():
+                found += forest.links(place[cuts[k] : cuts[k + 1]], fp[cuts[k] : cuts[k + 1]])
+            yield as_batch(found)
+
+    keyed = prints.select(F.explode(variant_keys(F.col("fp"), SEGMENTS)).alias("key"), "place", "fp")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
+
+
 def links(keyed: DataFrame, folder: str) -> DataFrame:
-    """Links u > v between places."""
+    """Links u > v between places of different groups."""
 
     def run(batches):
-        forest, rest = Forest(folder), (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        whole = iter(batches)
-        while True:
-            batch = next(whole, None)
-            if batch is not None:
-                key, place = (np.concatenate([r, np.asarray(batch.column(c))]) for r, c in zip(rest, ("key", "place"), strict=True))
-                last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            else:
-                key, place = rest
-                last = len(key)
-            rest = key[last:], place[last:]
-            cuts = np.flatnonzero(np.concatenate([[True], key[1:last] != key[: last - 1], [True]])) if last else np.zeros(1, np.int64)
+        forest = Forest(folder)
+        for (_, place, group), cuts in whole_keys(batches, ("key", "place", "group")):
             n = np.diff(cuts)
-            two = cuts[:-1][n == 2]
+            new = np.minimum.reduceat(group, cuts[:-1]) != np.maximum.reduceat(group, cuts[:-1])  # keys of more than one group
+            own = np.repeat(new, n)
+            forest.grouped(place[own], group[own])
+            two = cuts[:-1][new & (n == 2)]
             found = forest.pairs(np.maximum(place[two], place[two + 1]), np.minimum(place[two], place[two + 1]))
-            found += [x for k in np.flatnonzero(n > 2).tolist() for x in forest.links(place[cuts[k] : cuts[k + 1]])]
-            if found:
-                u, v = np.array(found, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-            if batch is None:
-                return
+            for k in np.flatnonzero(new & (n > 2)).tolist():
+                found += forest.links(place[cuts[k] : cuts[k + 1]])
+            yield as_batch(found)
 
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
 
@@ -308,9 +376,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     folder = mapped_folder(docs.sparkSession, "shingles")
     rows = written(stored(docs, folder), "sets")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
-    sets = written(rows.groupBy("set").agg(best, F.min("place").alias("node")), "distinct")
-    places = sets.select(F.col("node").alias("place"))
-    roots = components(links(keys(places, folder, common_shingles(places, folder)), folder))
+    sets = written(rows.groupBy("set").agg(best, F.min("place").alias("node"), F.first("fp").alias("fp")), "distinct")
+    alike = components(fingerprint_links(sets.select(F.col("node").alias("place"), "fp"), folder))
+    places = written(sets.select("node").join(alike, "node", "left").select(F.col("node").alias("place"), F.coalesce("root", "node").alias("group")), "places")
+    rest = links(keys(places, folder, common_shingles(places, folder)), folder)
+    roots = components(alike.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest))
     first = sets.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("best").alias("best"))
     first = first.select(F.col("best.row").alias("__row"))
     return docs.withColumn("__row", row_hash()).join(first, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -18,6 +18,8 @@ only has a null component. An empty table gives no rows. Only doc_id and text ar
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,11 +41,17 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     pairs = list(zip(starts[:n].tolist(), ends[len(words) - n :].tolist(), strict=True))
-    for at in range(0, n, 1 << 16):
-        h = np.array([digest(line[a:b], SEED) for a, b in pairs[at : at + (1 << 16)]], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return majority(np.array([digest(line[a:b], SEED) for a, b in pairs[at : at + (1 << 16)]], "<u8") for at in range(0, n, 1 << 16))
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """64 bits, each 1 if set in over half of the hashes of all blocks."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in blocks:
+        ones += np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
@@ -62,8 +70,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 # ---------------------------------------------------------------- links
 
 
-def near(a: np.ndarray, b: np.ndarray | U64) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= DISTANCE
+def near(a: np.ndarray, b: np.ndarray | U64, distance: int = DISTANCE) -> np.ndarray:
+    return np.bitwise_count(a ^ b) <= distance
 
 
 def spanning(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -138,13 +146,16 @@ def _link(batches):
         yield links(*held)
 
 
-def variant_keys(fp):
-    """Keys of a fingerprint: both segments as they are and with each bit deleted."""
-    keys = []
-    for segment, bits in ((0, fp.bitwiseAND(F.lit(0xFFFFFFFF))), (1, F.shiftrightunsigned(fp, 32))):
-        at = segment * 64
-        keys.append(bits.bitwiseOR(F.lit((at + 32) << 32)))
-        keys += [bits.bitwiseAND(F.lit(0xFFFFFFFF & ~(1 << i))).bitwiseOR(F.lit((at + i) << 32)) for i in range(32)]
+def variant_keys(fp, segments: int = 2):
+    """Keys of a fingerprint: its segments as they are and with each bit deleted.
+
+    Fingerprints of at most 2 * segments - 1 differing bits share one.
+    """
+    keys, width = [], 64 // segments
+    for segment in range(segments):
+        bits, at = F.shiftrightunsigned(fp, segment * width).bitwiseAND(F.lit((1 << width) - 1)), segment * 64
+        keys.append(bits.bitwiseOR(F.lit((at + width) << 32)))
+        keys += [bits.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << i))).bitwiseOR(F.lit((at + i) << 32)) for i in range(width)]
     return F.array(*keys)
 
 

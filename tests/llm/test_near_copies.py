@@ -75,3 +75,79 @@ def test_rows_that_share_an_id_stay_if_no_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted(set(rows), key=str)
+
+
+def near_copy_texts():
+    """Texts and copies of them in which more and more words differ; one has more copies than are searched at once."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(25):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([60, 200, 500]))]
+        texts.append(" ".join(words))
+        for n in range(near_copies.TOGETHER + 20 if k == 0 else 6):
+            near = list(words)
+            for at in rng.sample(range(len(near)), rng.randint(1, len(near) // 60 + 1) if k == 0 else 1 + n * len(near) // 250):
+                near[at] = f"x{rng.randint(0, 99)}"
+            texts.append(" ".join(near))
+    return sorted(set(texts))
+
+
+def stored_sets(spark, texts):
+    folder = near_copies.mapped_folder(spark, "shingles")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = near_copies.written(near_copies.stored(docs, folder), "sets")
+    return folder, rows, {r.place: (r.doc_id, r.fp & (1 << 64) - 1) for r in rows.collect()}
+
+
+def test_fingerprints_bring_sets_together(spark):
+    texts = near_copy_texts()
+    folder, rows, of = stored_sets(spark, texts)
+    sets, fps = brute_sets(texts), dict(of.values())
+    expected = {(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 7 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    got = {tuple(sorted((of[r.u][0], of[r.v][0]), reverse=True)) for r in near_copies.fingerprint_links(rows.select("place", "fp"), folder).collect()}
+
+    def parts(pairs):
+        root = list(range(len(texts)))
+        for a, b in sorted(pairs):
+            old, new = sorted((root[a], root[b]), reverse=True)
+            root = [new if x == old else x for x in root]
+        return root
+
+    assert got <= expected and len(got) > near_copies.TOGETHER and parts(got) == parts(expected)
+    own = near_copies.shingle_sets(*flat(texts[:1]))[0]
+    assert fps[0] == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in own) > len(own))
+
+
+def flat(texts):
+    import numpy as np
+
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+
+
+def test_stage_groups_by_simhash_and_the_exact_way_adds_the_rest(spark, monkeypatch):
+    texts, seen = near_copy_texts(), {}
+    by_print, by_key, by_prefix = near_copies.fingerprint_links, near_copies.keys, near_copies.links
+
+    def prints(sets, folder):
+        found = near_copies.written(by_print(sets, folder), "seen")
+        seen["prints"] = {(r.u, r.v) for r in found.collect()}
+        return found
+
+    def keys(places, folder, common):
+        seen["group"] = {r.place: r.group for r in places.collect()}
+        return by_key(places, folder, common)
+
+    def links(keyed, folder):
+        found = near_copies.written(by_prefix(keyed, folder), "seen")
+        seen["rest"] = {(r.u, r.v) for r in found.collect()}
+        return found
+
+    for name, f in (("fingerprint_links", prints), ("keys", keys), ("links", links)):
+        monkeypatch.setattr(near_copies, name, f)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
+    assert got == brute_first(texts)
+    group = seen["group"]
+    assert all(group[u] == group[v] for u, v in seen["prints"]) and len(seen["prints"]) > near_copies.TOGETHER
+    assert seen["rest"] and all(group[u] != group[v] for u, v in seen["rest"])
