@@ -35,3 +35,8 @@ def test_empty_pages_count(spark):
 
 def test_prefixes():
     assert suggestion_prefix(" Ab3c% ", True) == "abc" and suggestion_prefix(" Ab3c% ", False) == "ab3c%"
+
+
+def test_repeated_page_ids_are_one_page(spark):
+    rows = indexing.postings(pages(spark, [(1, "ab the ab", "cd ab"), (1, "cd", "ab"), (2, None, None), (3, "", "the")])).orderBy("term").collect()
+    assert [(r.term, r.page_id, r.freq_title, r.freq_body, r.positions.title, r.positions.body) for r in rows] == [("ab", 1, 2, 2, [0, 2], [0, 1]), ("cd", 1, 1, 1, [0], [0])]
