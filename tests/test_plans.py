@@ -38,6 +38,32 @@ def test_tokens_are_cut_once(spark):
     assert not [line for line in text.splitlines() if line.startswith("Condition") and "regexp_extract_all" in line]
 
 
+def test_postings_shuffle_texts_only(spark):
+    """Neither words nor lists of positions are shuffled or sorted across rows; lengths need no second shuffle of postings."""
+    pages = tables.document_pages(tables.read(spark, SF, "documents"))
+    text = plan(indexing.postings(pages))
+    assert not re.search(r"hashpartitioning\(term", text)
+    assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 1
+    assert not re.search(r"hashpartitioning\(term", plan(indexing.doc_lengths(pages, indexing.postings(pages))))
+
+
+def test_each_file_of_the_index_is_sorted(spark, tmp_path):
+    """So that a query reads its terms' and grams' own pages of every file."""
+    kept = []
+
+    def keep(df, name):
+        kept.append(name)
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / name))
+
+    found = searching.build_index(tables.document_pages(tables.read(spark, SF, "documents")), keep=keep)
+    assert kept == ["postings", "terms", "page_rank", "index_meta", "grams"]
+    for table, keys in ((found.postings, ["term", "page_id"]), (found.grams, ["gram", "term"])):
+        for file in table.inputFiles():
+            rows = [tuple(r) for r in spark.read.parquet(file).select(*keys).collect()]
+            assert rows == sorted(rows)
+
+
 def test_suggestions_are_pushed_down(index):
     from skarn.operators import suggesting
 
