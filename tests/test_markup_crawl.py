@@ -61,6 +61,24 @@ def test_upsert_and_frontier(spark):
     assert sorted(r.url for r in crawling.allowed(urls, rules).collect()) == ["http://h/open", "http://k/"]
 
 
+def test_rules_meet_paths_by_equality(spark):
+    """The first rule that a path begins with decides; a host's paths are not compared with all of its rules."""
+    rows = [("h", "/a", False, 3), ("h", "/ab", True, 1), ("h", "/abc", False, 2), ("h", "/ü", False, 0), ("h", "/q?x", False, 0), ("h", "", False, -9), ("k", "", True, 0), ("k", "/z", False, 0), ("k", "/z", True, 0), ("n", None, True, 0), (None, "/", True, 0)]
+    rules = spark.createDataFrame(rows, "host string, prefix string, allow boolean, ord int")
+    urls = ["http://h/a", "http://h/abcd", "http://h/axe", "http://h/b", "http://h", "http://h/üx", "http://h/q?xy", "http://h/q", "http://k/z1", "http://k/y", "http://n/a", "http://other/a", "nonsense", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+
+    def brute(url):
+        host, path = (url or "").partition("://")[2].partition("/")[::2] if "://" in (url or "") else (None, "")
+        own = [(o, a) for h, p, a, o in rows if host is not None and h == host and p is not None and (p or a) and f"/{path}".startswith(p)]
+        return host in {r[0] for r in rows if r[0]} and min(own, default=(0, True))[1]
+
+    judged = crawling.judged(df, rules)
+    assert {r.url: r.may_fetch for r in judged.collect()} == {u: brute(u) for u in urls}
+    text = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith" not in text and "prefix" in text
+
+
 def test_crawl_levels(spark):
     def page(links):
         return "".join(f'<a href="{x}">l</a>' for x in links) + "<p>" + "enough words " * 10 + "</p>"
