@@ -21,6 +21,14 @@ def test_extract(spark):
     assert links == ["http://h.example/c", "http://h.example/d?q=1", "http://h.example/dir/b.html"]
 
 
+def test_links_are_resolved_once_a_row(spark):
+    """The filter of nulls makes no second Python evaluation."""
+    df = spark.createDataFrame([("http://h/a/b", '<a href="../c#x">c</a><a href="//k/z">z</a><a href="?q">q</a>'), (None, '<a href="q">q</a>')], "url string, html string")
+    links = crawling.extract_links(df)
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r.link for r in links.collect()) == ["http://h/a/b?q", "http://h/c"]
+
+
 def reference_snippet(text, terms, n=220):
     def esc(s):
         for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
